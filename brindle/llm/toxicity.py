@@ -28,11 +28,12 @@ from brindle.llm import common as C
 BITS = 20
 GRAMS = (4, 5, 6)
 #: At most about so many labelled texts of each class are learned from.
-PER_CLASS = 1500
+PER_CLASS = 1000
 THRESHOLD = 0.7
 #: N-grams in fewer texts of the sample get no weight.
 MIN_TEXTS = 5
 _CHUNK = 1 << 20
+_PART = 128
 
 
 def features(text: str | None, seen: np.ndarray, stamp: int) -> np.ndarray:
@@ -58,35 +59,40 @@ def all_features(texts) -> Iterator[np.ndarray]:
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights by n-gram id and the bias. Full-batch Adam on sets whose size is bounded by the sample."""
+    """Weights by n-gram id and the bias. Adam on whole gradients, summed over parts of the sample to save memory."""
     if len(set(labels.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), -1e9
     y = labels.astype(np.float64)
-    ids, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    toxic = np.bincount(ids, weights=y[row], minlength=1 << BITS) + 1
-    other = np.bincount(ids, weights=1 - y[row], minlength=1 << BITS) + 1
-    ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2))
-    keep = (np.bincount(ids, minlength=1 << BITS) >= MIN_TEXTS)[ids]
-    ids, row = ids[keep], row[keep]
-    met = np.unique(ids)
-    local = np.zeros(1 << BITS, np.int32)
+    toxic, other = np.ones(1 << BITS), np.ones(1 << BITS)
+    for ids, label in zip(sets, labels, strict=True):
+        (toxic if label else other)[ids] += 1
+    met = np.flatnonzero(toxic + other >= MIN_TEXTS + 2)
+    ratio = (np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2)))[met]
+    local = np.full(1 << BITS, len(met), np.int32)  # the last slot is for all others and stays 0
     local[met] = np.arange(len(met), dtype=np.int32)
-    col, r = local[ids], ratio[met]
+    ratio = np.append(ratio, 0.0)
+    parts = []
+    for at in range(0, len(sets), _PART):
+        kept = [c[c < len(met)] for c in (local[ids] for ids in sets[at : at + _PART])]
+        parts.append((at, np.concatenate(kept), np.array([len(c) for c in kept])))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, bias = np.zeros(len(met)), 0.0
-    m, v, mb, vb = np.zeros(len(met)), np.zeros(len(met)), 0.0, 0.0
+    w, bias = np.zeros(len(ratio)), 0.0
+    m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=(w * r)[col], minlength=len(sets)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
-        gw = np.bincount(col, weights=g[row], minlength=len(met)) * r + penalty * w
+        scaled, gw, gb = w * ratio, penalty * w, 0.0
+        for at, col, sizes in parts:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(row, weights=scaled[col], minlength=len(sizes)) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[at : at + len(sizes)]) * share[at : at + len(sizes)]
+            gw += np.bincount(col, weights=g[row], minlength=len(ratio)) * ratio
+            gb += g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.02 / (1 - 0.9**t) * np.sqrt(1 - 0.99**t)
         w -= rate * m / (np.sqrt(v) + 1e-8)
         bias -= rate * mb / (np.sqrt(vb) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[met] = w * r
+    weights[met] = (w * ratio)[:-1]
     return weights, float(bias)
 
 
@@ -112,8 +118,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pd.DataFrame({"id": b.id, "label": b.label, "ids": [np.sort(x).tobytes() for x in all_features(b.text)]})
 
-    got = texts.mapInPandas(featured, "id long, label int, ids binary").toPandas().sort_values("id")
-    return train([np.frombuffer(x, np.int32) for x in got.ids], got.label.to_numpy())
+    got = texts.mapInPandas(featured, "id long, label int, ids binary").toArrow().sort_by("id")
+    return train([np.frombuffer(x, np.int32) for x in (v.as_buffer() for v in got["ids"])], got["label"].to_numpy())
 
 
 def score_udf(spark, weights: np.ndarray, bias: float):
