@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import langid, mixing, quality, rules, secrets, toxicity, urls
+from brindle.llm import langid, mixing, packing, quality, rules, secrets, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_secret_scan, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_secret_scan, op6_packing, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
 #: Queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_source_mixing": mixing.oracle()}
