@@ -1,23 +1,62 @@
-"""A corpus pipeline of five stages; each reads what its predecessor kept."""
+"""A corpus pipeline of five stages; each reads what its predecessor kept.
+
+Toxic documents go, of each group of near copies one document stays, secrets in
+the texts are replaced, sources are mixed to their target weights, and the rest
+is packed into token windows. All stages but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import common, toxicity
+from brindle.llm import common, join, mixing, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars again says how long the text is, in code points."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", without_toxic)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return join.first_of_each_class(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets, encoded ones too, are replaced by a mark."""
+    return counted(secrets.redact(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time a document is taken; texts at a source's cut are shortened."""
+    return counted(mixing.mix(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all token windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 
-#: Scores of trained models and hashed samples are beyond SQL; the tests hold the rows against a brute-force version.
+#: Trained models, MinHash candidates and token ids are beyond SQL; the tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -27,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.staged(docs, name)
+            docs = common.staged(docs, name.replace(" ", "-"))
     return docs
