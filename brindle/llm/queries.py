@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import join, langid, mixing, packing, quality, rules, secrets, toxicity, urls
+from brindle.llm import ann, join, langid, mixing, packing, quality, rules, secrets, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_secret_scan, op5_jaccard_join, op6_packing, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_secret_scan, op4_nearest_neighbours, op5_jaccard_join, op6_packing, op7_url_filter, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
 #: Queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_source_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op2_source_mixing": mixing.oracle(), "op4_nearest_neighbours": ann.oracle()}
