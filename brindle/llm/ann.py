@@ -37,13 +37,13 @@ from brindle.llm import common as C
 from brindle.llm.groups import over_groups
 
 TOP = 20
-QUERY_BLOCK, CODE_BLOCK = 8192, 8192
+QUERY_BLOCK, CODE_BLOCK = 2048, 32768
 #: The error bound in standard deviations or so; 1.9 is usual, more costs rerankings and loses fewer neighbours.
-EPSILON = 3.5
+EPSILON = 3.0
 #: Candidates per query that are scored exactly before the bounds decide.
 FIRST = 64
 _TILE = 128
-_PAIRS = 1 << 15
+_PAIRS = 512
 
 
 @lru_cache(maxsize=8)
@@ -88,25 +88,31 @@ def search_block(query_ids, queries, ids, vectors, packed, norms, cosines, top:
     turned = (queries @ rotation(d)).astype(np.float32)
     lengths = np.linalg.norm(queries, axis=1).astype(np.float32)
     out = []
+    short, short_queries = vectors.astype(np.float32), queries.astype(np.float32)
     for at in range(0, len(queries), _TILE):
-        own = query_ids[at : at + _TILE, None] == ids[None, :]
-        guess = (turned[at : at + _TILE] @ signs.T) * scale
-        guess[own] = -np.inf
-        rows = np.arange(len(guess))
-        if len(ids) > FIRST:
-            near = np.argpartition(-guess, FIRST, axis=1)[:, :FIRST]
-            a, b = np.repeat(rows, FIRST), near.ravel()
-            got = exact(queries, vectors, a + at, b)
-            got[~np.isfinite(guess[a, b])] = -np.inf
-            limit = np.sort(got.reshape(-1, FIRST), axis=1)[:, -min(top, FIRST)]
-        else:
-            limit = np.full(len(guess), -np.inf)
-        upper = guess + width * lengths[at : at + _TILE, None]
-        slack = 1e-4 * lengths[at : at + _TILE, None] * norms.astype(np.float32)
-        a, b = np.nonzero((upper + slack >= limit[:, None]) & ~own)
-        scores = exact(queries, vectors, a + at, b)
-        keep = best(a, ids[b], scores, top)
-        out.append((a[keep] + at, b[keep], scores[keep]))
+        guess = turned[at : at + _TILE] @ signs.T
+        guess *= scale
+        a, b = np.nonzero(query_ids[at : at + _TILE, None] == ids[None, :])
+        guess[a, b] = -np.inf  # the query's own row
+        slack = 1e-4 * lengths[at : at + _TILE] * norms.max()  # far above the rounding of single precision
+        for k in range(len(guess)):
+            q, row = at + k, guess[k]
+            limit = -np.inf
+            if len(ids) > FIRST:
+                near = np.argpartition(row, len(row) - FIRST)[-FIRST:]
+                near = near[row[near] > -np.inf]
+                if len(near) >= top:
+                    limit = np.partition(short[near] @ short_queries[q], len(near) - top)[len(near) - top] - slack[k]
+            chosen = np.flatnonzero((row + width * lengths[q] >= limit) & (row > -np.inf))
+            reached = short[chosen] @ short_queries[q]
+            chosen = chosen[reached >= limit]
+            if len(chosen) > 4 * top:
+                reached = reached[reached >= limit]
+                chosen = chosen[reached >= np.partition(reached, len(reached) - top)[len(reached) - top] - slack[k]]
+            who = np.full(len(chosen), q)
+            scores = exact(queries, vectors, who, chosen)
+            keep = best(who, ids[chosen], scores, top)
+            out.append((who[keep], chosen[keep], scores[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
