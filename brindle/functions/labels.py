@@ -8,6 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the mark around every label of a label string.
 MARK = "$#$"
@@ -32,7 +33,7 @@ def label(text: Column, key: str) -> Column:
     return F.try_element_at(parse_labels(text), F.lit(key))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _series_hash(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     low = lambda s: xxhash.xxh64_intdigest(s.encode("utf-16-le"), 0) & 0xFFFFFFFF
     for names, labels in batches:
