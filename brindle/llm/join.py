@@ -49,6 +49,8 @@ _random = np.random.default_rng(5)
 _A = _random.integers(1, 1 << 63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(1, 1 << 63, _N, dtype=np.uint64)
 _COLUMNS = 1024
+#: Up to so many row keys (of some 20 bytes) are broadcast to find their documents; beyond, documents are shuffled by key.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -275,6 +277,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     found = C.staged(components(C.staged(candidates(reps), "candidates")), "components")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
     members = found.join(sizes, "root").select(F.col("node").alias("rk"), F.col("root").alias("comp"), "size").join(reps.select("rk", "m"), "rk")
+    members = _sized(C.staged(members, "members"))
     texts = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")).join(members, "rk")
     texts = texts.dropDuplicates(["rk"]) if _repeats(rows) else texts
     exact = C.staged(verified(texts, threshold), "links")
@@ -290,6 +293,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.select("rk", "doc_id", "rep", F.coalesce("class", "rk").alias("class"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A written table of row keys, to be broadcast if it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether equal rows occur, which would give a representative's text more than once."""
     return not rows.groupBy("rk").count().where("count > 1").isEmpty()
@@ -308,8 +316,11 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = told.groupBy("class").agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "rk")).alias("first")).where("size > 1")
     rows = told.join(several, "class").select("rk", (F.col("rk") == F.col("first.rk")).alias("stays"))
     keyed = docs.withColumn("_rk", row_key(id_col, text_col))
-    lost = rows.where("not stays").select(F.col("rk").alias("_rk")).distinct()
-    kept = keyed.join(lost, "_rk", "left_anti")
-    if _repeats(told.select("rk")):
-        kept = kept.dropDuplicates(["_rk"])
-    return kept.drop("_rk")
+    # a row that is equal to the one that stays shares its key
+    lost = C.staged(rows.where("not stays").select(F.col("rk").alias("_rk")).distinct(), "lost")
+    kept = keyed.join(_sized(lost), "_rk", "left_anti")
+    twice = C.staged(told.where("rep is not null").groupBy(F.col("rk").alias("_rk")).count().where("count > 1").select("_rk"), "twice")
+    if not twice.isEmpty():  # equal rows share a key: one of them stays
+        twice = _sized(twice)
+        kept = kept.join(twice, "_rk", "left_anti").unionByName(kept.join(twice, "_rk", "left_semi").dropDuplicates(["_rk"]))
+    return kept.select(*docs.columns)
