@@ -178,7 +178,7 @@ def write_metadata(spark, path: str, told: ShardMetadata) -> None:
 
 
 def read_metadata(spark, path: str) -> ShardMetadata:
-    return ShardMetadata.from_json(spark.read.option("wholetext", "true").text(f"{path}/metadata.json").first()[0])
+    return ShardMetadata.from_json(spark.read.text(f"{path}/metadata.json", wholetext=True).first()[0])
 
 
 def _overwrite(spark, name: str, text: str) -> None:

@@ -74,6 +74,12 @@ class Store:
         self._fs.delete(self._path(name), True)
 
 
+def _schema_text(struct: T.StructType) -> str:
+    """The schema as a manifest has it: names and types; anything may be missing, as in files."""
+    text = json.dumps(json.loads(struct.json()), sort_keys=True)
+    return text.replace('"nullable": false', '"nullable": true').replace('"containsNull": false', '"containsNull": true').replace('"valueContainsNull": false', '"valueContainsNull": true')
+
+
 def open_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The documents of a committed version, the last one if none is named."""
     store = Store(spark, path)
@@ -87,7 +93,7 @@ class Writer:
     def __init__(self, spark: SparkSession, path: str, struct: T.StructType, append: bool = False, sort: tuple[str, bool, bool] | None = None, id_col: str = "doc_id") -> None:
         """sort: a field, whether descending, whether missing values come first."""
         self.store = Store(spark, path)
-        self.struct, self.schema, self.sort, self.id_col = struct, json.dumps(json.loads(struct.json())), sort, id_col
+        self.struct, self.schema, self.sort, self.id_col = struct, _schema_text(struct), sort, id_col
         found = self.store.versions()
         if found and not append:
             raise FileExistsError(f"{path}: the table exists")

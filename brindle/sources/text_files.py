@@ -15,7 +15,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered within a file from 1, counting those left out. A file
     is read by one task, for its lines to keep their order.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source"), "value")
     lines = rows.select("source", F.posexplode(F.split("value", "\n")).alias("at", "text"))
     message = F.regexp_replace("text", _EDGE, "")
     kept = lines.select(message.alias("message"), "source", (F.col("at") + 1).cast("long").alias("line"))
