@@ -40,10 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Small partitions are merged up to the advised size, for staged tables to have few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
