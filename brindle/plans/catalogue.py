@@ -356,7 +356,7 @@ def _(spark, sf_dir):
 
 @register("index_sorted_ids_string", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS sorted_doc_id FROM documents")
 def _(spark, sf_dir):
-    return store.sorted_ids(documents(spark, sf_dir), ("source", False, False))
+    return store.sorted_ids(documents(spark, sf_dir), ("source", False, False), ranges=8)
 
 
 @register("force_merge_roundtrip", "SELECT * FROM documents")

@@ -167,24 +167,38 @@ def ordered(rows: DataFrame, sort: tuple[str, bool, bool], id_col: str = "doc_id
     return dealt.sortWithinPartitions(*keys)
 
 
+#: Ranges are told apart at values of a sample of so many rows for each range.
+SAMPLE_PER_RANGE, MOST_RANGES, ROWS_PER_RANGE = 40, 256, 100_000
+
+
 def sorted_ids(rows: DataFrame, sort: tuple[str, bool, bool], id_col: str = "doc_id", ranges: int = 0) -> DataFrame:
     """doc_id and sorted_doc_id, the place in the order of a field.
 
-    Places are sums over ranges of the key, so that no task orders all rows:
-    missing values are a range, and so is each part between quantiles; equal
-    values are told apart by id ranges.
+    Places are sums over ranges of the key, so that no task orders all rows.
+    Missing values and each value at which ranges meet (which includes any that
+    many rows share) are ranges of their own, split further by id.
     """
     field, descending, missing_first = sort
-    n = ranges or max(1, min(4096, rows.count() // 100_000))
-    cuts = rows.agg(F.percentile_approx(field, F.array(*(F.lit((k + 1) / (n + 1)) for k in range(n))), 10000)).first()[0] if n > 1 and isinstance(rows.schema[field].dataType, T.NumericType) else None
+    total = rows.count()
+    n = ranges or max(1, min(MOST_RANGES, total // ROWS_PER_RANGE))
+    key, cuts = F.col(field), []
+    if n > 1:
+        spot = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(max(1, total)))
+        few = rows.where(key.isNotNull() & (spot < SAMPLE_PER_RANGE * n)).select(key).limit(4 * SAMPLE_PER_RANGE * n).collect()
+        values = sorted(r[0] for r in few)
+        cuts = sorted({values[len(values) * k // n] for k in range(1, n)}) if values else []
     part = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        part = part + (F.col(field) > F.lit(c)).cast("int")
-    part = -part if descending else part
-    edge = -1_000_000 if missing_first else 1_000_000
-    ids = F.floor(F.col(id_col) / F.lit(100_000)) if cuts else F.lit(0)
-    placed = rows.select(id_col, F.col(field).alias("_key"), F.coalesce(part, F.lit(edge)).alias("_part"))
-    placed = placed.withColumn("_part", F.when(F.col("_key").isNull(), F.lit(edge)).otherwise(F.col("_part"))).withColumn("_ids", F.when(F.col("_key").isNull(), ids).otherwise(F.lit(0)))
+    for c in cuts:
+        part = part + (key > F.lit(c)).cast("int") + (key >= F.lit(c)).cast("int")
+    alone = key.isin(cuts) if cuts else F.lit(False)
+    edge = F.lit(-1_000_000 if missing_first else 1_000_000)
+    by_id = F.floor(F.col(id_col) / F.lit(ROWS_PER_RANGE))
+    placed = rows.select(
+        id_col,
+        key.alias("_key"),
+        F.when(key.isNull(), edge).otherwise(-part if descending else part).alias("_part"),
+        F.when(key.isNull() | alone, F.coalesce(by_id, F.lit(-1))).otherwise(F.lit(0)).alias("_ids"),
+    )
     sizes = placed.groupBy("_part", "_ids").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(Window.orderBy("_part", "_ids")) - F.col("n")).drop("n")
     inner = F.row_number().over(Window.partitionBy("_part", "_ids").orderBy(sort_key(("_key", descending, missing_first)), id_col)) - 1

@@ -72,9 +72,11 @@ def test_force_merge(spark, tmp_path):
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 8])
+@pytest.mark.parametrize("per_range", [2, 100_000])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("missing_first", [False, True])
-def test_sorted_ids(spark, ranges, descending, missing_first):
+def test_sorted_ids(spark, ranges, per_range, descending, missing_first, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_RANGE", per_range)
     keys = [30, 10, None, 20, 20, 10, None, 5, 5, 5]
     df = spark.createDataFrame(list(enumerate(keys)), "doc_id long, ts long")
     got = {r.doc_id: r.sorted_doc_id for r in store.sorted_ids(df, ("ts", descending, missing_first), ranges=ranges).collect()}
