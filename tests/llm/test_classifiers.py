@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import row, sentence
+from small_docs import row, sentence
 
 from brindle.llm import langid, quality, toxicity
 
@@ -34,7 +34,7 @@ def labelled(spark):
         rows.append(row(i, " ".join(words), lang))
         labels.append((i, int(not bad), int(rude), 1.0))
     labels += [(None, 1, 1, None), (5000, None, None, None), (600, 1, 0, 0.0), (0, None, None, 0.0), (1, 1, 0, 1.0)]
-    from conftest import STRUCT
+    from small_docs import STRUCT
 
     return spark.createDataFrame(rows, STRUCT).cache(), spark.createDataFrame(labels, LABELS).cache(), {x[0]: x for x in labels[:600]}
 

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import STRUCT, row, sentence
+from small_docs import STRUCT, row, sentence
 
 from brindle.llm import groups, join as J
 

@@ -7,7 +7,7 @@ import re
 
 import duckdb
 import pytest
-from conftest import STRUCT, row
+from small_docs import STRUCT, row
 
 from brindle.llm import mixing as X
 

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import STRUCT, row
+from small_docs import STRUCT, row
 
 from brindle.llm import packing as K
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import row, sentence
+from small_docs import row, sentence
 
 import corpus_pipeline as P
 from brindle.llm import secrets, toxicity
@@ -13,7 +13,7 @@ from brindle.llm import secrets, toxicity
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    from conftest import STRUCT
+    from small_docs import STRUCT
 
     r, rows, labels = random.Random(11), [], []
     for i in range(400):
@@ -60,7 +60,7 @@ def test_run_gives_the_last_stage(spark, tables):
 
 
 def test_empty_tables(spark, tmp_path):
-    from conftest import STRUCT
+    from small_docs import STRUCT
 
     spark.createDataFrame([], STRUCT).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

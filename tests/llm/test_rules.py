@@ -8,7 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import STRUCT, row, sentence
+from small_docs import STRUCT, row, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

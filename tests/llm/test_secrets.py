@@ -98,7 +98,7 @@ def test_bombs_stay_closed(monkeypatch):
 
 
 def test_table(docs, no_docs, corpus, spark):
-    from conftest import STRUCT, row
+    from small_docs import STRUCT, row
 
     got = S.secrets(docs).collect()
     assert len(got) == len(corpus)
