@@ -16,15 +16,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn: each replaces a node's edges by
     edges to the least neighbour. The edge list is written every round and
-    never grows; the rounds end when it no longer changes.
+    never grows; the rounds end when it no longer changes. The least neighbours
+    are written before they are joined, for the optimizer to split the edges of
+    a star's centre among tasks.
     """
     edges = C.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     told = _digest(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = C.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = C.staged(large, "large")
+        low = C.staged(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = C.staged(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         was, told = told, _digest(edges)
