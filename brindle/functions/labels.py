@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.shipping import ship
+
 #: Fixed value: the mark around every label of a label string.
 MARK = "$#$"
 
@@ -43,4 +45,5 @@ def _series_hash(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 def series_hash(name: Column, labels: Column) -> Column:
     """Low 32 bits of xxh64 (seed 0, UTF-16LE) of the name, then of the label string. For distinct series; not for grouping."""
+    ship(SparkSession.active())
     return _series_hash(name, labels)

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.functions.shipping import ship
+
 _SCHEMA = "metric_name string, labels string, ts_ms long, value double, seq long"
 
 
@@ -40,6 +42,7 @@ def decode(data: bytes) -> Iterator[tuple[str, str, int, float]]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Points of all batch files under a path; seq counts within a file."""
+    ship(spark)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
