@@ -123,7 +123,7 @@ def usable(vector: Column) -> Column:
 
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each row whose id is divisible by `every`."""
-    C.small_batches(vectors.sparkSession)
+    C.ready(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull()).where(usable(F.col("v")))
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         rows = rows.groupBy("id").agg(F.min("v").alias("v"))

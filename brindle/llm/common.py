@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.shipping import ship
+
 #: Rows of one Arrow batch; with texts of some KB a batch stays at a few MB, with very long ones below some hundred.
 ARROW_ROWS = 512
 #: Words, everywhere in this package: runs of anything but ASCII white space.
@@ -22,8 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session asks for smaller ones already."""
+def ready(spark: SparkSession) -> None:
+    """Send this package to the executors, and keep Arrow batches small unless the session asks for smaller ones already."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

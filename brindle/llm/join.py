@@ -176,7 +176,7 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rk, doc_id, n, h1, h2 (digest of the shingle set), sig, bands of every document; the last two null without shingles."""
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -172,7 +172,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Train on a bounded, hash-chosen sample of every language's texts."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     known = known.where("id is not null and label is not null and text is not null").where(C.remainder("id", held[0]) != held[1])
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
     few = C.class_sample(known, "id", "label", per_class, MAX_LANGUAGES, 1).groupBy("id").agg(F.min(F.struct("label", "text")).alias("x")).select("id", "x.*")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: tuple[int, int] = (4, 2)) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.ready(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, held))
 
     @F.pandas_udf("lang_pred string, score double")

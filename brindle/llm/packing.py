@@ -171,7 +171,7 @@ def unpadded(window: list) -> Iterator[list]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece: which ids of which document lie where in which sequence; with_ids adds them."""
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
     path = path or vocabulary()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

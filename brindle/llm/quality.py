@@ -134,6 +134,7 @@ def score(texts, slots: np.ndarray, bias: float) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held: tuple[int, int] | None = (5, 0), per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled documents, without those whose id's remainder is held out."""
+    C.ready(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if held:
         known = known.where(C.remainder("id", held[0]) != held[1])
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_udf(spark, slots: np.ndarray, bias: float):
     """A column function: text to the quality score."""
-    C.small_batches(spark)
+    C.ready(spark)
     model = spark.sparkContext.broadcast((slots, bias))
 
     @F.pandas_udf("double")

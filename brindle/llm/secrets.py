@@ -249,7 +249,7 @@ def without(text: str | None, spans: list[Span], mark: str = MARK) -> str | None
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and spans of every document."""
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_unopened long")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -266,7 +266,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """The documents with every secret of the text, encoded or not, replaced by a mark."""
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
