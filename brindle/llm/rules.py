@@ -35,7 +35,7 @@ ORDER = 4
 CHAR_BITS = 12
 SLOT_BITS = 23
 MAX_LANGUAGES = 256
-MIN_GRAMS = 40
+MIN_GRAMS = 150
 #: Bands: so many robust spreads below and above the median log perplexity; a spread counts as MIN_SPREAD at least.
 BELOW, ABOVE, MIN_SPREAD = 8.0, 25.0, 0.03
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -212,7 +212,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """docs: lang (not null) and text."""
-    C.small_batches(docs.sparkSession)
+    C.ready(docs.sparkSession)
     grams = docs.mapInPandas(count_grams, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
