@@ -30,8 +30,8 @@ GRAMS = (4, 5, 6)
 #: At most about so many labelled texts of each class are learned from.
 PER_CLASS = 1000
 THRESHOLD = 0.7
-#: N-grams in fewer texts of the sample get no weight.
-MIN_TEXTS = 5
+#: N-grams in fewer texts of the sample, or with a lesser log ratio, get no weight: clean n-grams of a long text outvote nothing.
+MIN_TEXTS, MIN_RATIO = 5, 0.7
 _CHUNK = 1 << 20
 _PART = 128
 
@@ -66,8 +66,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty:
     toxic, other = np.ones(1 << BITS), np.ones(1 << BITS)
     for ids, label in zip(sets, labels, strict=True):
         (toxic if label else other)[ids] += 1
-    met = np.flatnonzero(toxic + other >= MIN_TEXTS + 2)
-    ratio = (np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2)))[met]
+    ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2))
+    met = np.flatnonzero((toxic + other >= MIN_TEXTS + 2) & (ratio >= MIN_RATIO))
+    ratio = ratio[met]
     local = np.full(1 << BITS, len(met), np.int32)  # the last slot is for all others and stays 0
     local[met] = np.arange(len(met), dtype=np.int32)
     ratio = np.append(ratio, 0.0)
@@ -103,6 +104,7 @@ def score(texts, weights: np.ndarray, bias: float) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held: tuple[int, int] | None = (3, 1), per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled documents, without those whose id's remainder is held out."""
+    C.ready(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if held:
         known = known.where(C.remainder("id", held[0]) != held[1])
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_udf(spark, weights: np.ndarray, bias: float):
     """A column function: text to the toxicity score."""
-    C.small_batches(spark)
+    C.ready(spark)
     model = spark.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("double")
