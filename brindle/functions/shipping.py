@@ -10,9 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of one Arrow batch; with texts of some KB a batch stays at a few MB, with very long ones below some hundred.
+ARROW_ROWS = 512
+
 _sent: set[str] = set()
 
 
+def ready(spark: SparkSession) -> None:
+    """Ship, and keep Arrow batches small unless the session asks for smaller ones already."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def ship(spark: SparkSession) -> None:
     """Once for each application; called before functions of this package are given to Spark."""
     context = spark.sparkContext

@@ -2,9 +2,9 @@ r"""Terms of a text as Spark columns.
 
 A term is a run of anything but the five ASCII white-space characters blank,
 tab, line feed, form feed and carriage return; terms are case-sensitive. Tests
-for terms need no token array: a text with every separator doubled and blanks
-at both ends holds " term " once for each occurrence, so `contains` and
-`replace`, which stay inside generated code, answer them.
+for terms need no token array: `contains`, which reaches the Parquet reader,
+passes over most texts without a rare term, and a regular expression that looks
+at the neighbours of the literal stops at the first occurrence.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SEPARATORS = " \t\n\f\r"
 _RUN = r"[ \t\n\f\r]+"
 _TERM = r"[^ \t\n\f\r]"
+#: Longer lists of terms are compared as arrays.
+_MOST_ALTERNATIVES = 64
 
 
 def tok(text: Column) -> Column:
@@ -24,40 +26,41 @@ def tok(text: Column) -> Column:
     return F.filter(F.split(text, _RUN), lambda x: x != "")
 
 
-def framed(text: Column) -> Column:
-    """The text with two blanks between terms at least and one at both ends."""
-    return F.concat(F.lit(" "), F.replace(F.translate(text, SEPARATORS, " " * len(SEPARATORS)), F.lit(" "), F.lit("  ")), F.lit(" "))
-
-
 def is_term(term: str) -> bool:
     """Whether the string can be a term at all."""
     return term != "" and not any(c in SEPARATORS for c in term)
 
 
+def _starting(literal: str) -> str:
+    """The literal where a term begins. The literal comes first, for the search to skip ahead."""
+    return f"{re.escape(literal)}(?<!{_TERM}{re.escape(literal)})"
+
+
+def _whole(term: str) -> str:
+    return f"{_starting(term)}(?!{_TERM})"
+
+
 def has_term(text: Column, term: str) -> Column:
     if not is_term(term):
         return F.lit(False)
-    return text.contains(term) & framed(text).contains(f" {term} ")
+    return text.contains(term) & text.rlike(_whole(term))
 
 
 def has_any_term(text: Column, terms: list[str]) -> Column:
     terms = [t for t in terms if is_term(t)]
     if not terms:
         return F.lit(False)
-    if len(terms) > 8:
+    if len(terms) > _MOST_ALTERNATIVES:
         return F.arrays_overlap(tok(text), F.array(*map(F.lit, terms)))
-    found = framed(text).contains(f" {terms[0]} ")
-    for t in terms[1:]:
-        found = found | framed(text).contains(f" {t} ")
-    return found
+    return text.rlike(f"(?<!{_TERM})(?:{'|'.join(map(re.escape, terms))})(?!{_TERM})")
 
 
 def has_prefix(text: Column, prefix: str) -> Column:
     if prefix == "":
-        return F.trim(F.translate(text, SEPARATORS, " " * len(SEPARATORS))) != ""
+        return text.rlike(_TERM)
     if not is_term(prefix):
         return F.lit(False)
-    return framed(text).contains(f" {prefix}")
+    return text.contains(prefix) & text.rlike(_starting(prefix))
 
 
 def like_pattern(pattern: str) -> str:
@@ -77,23 +80,20 @@ def has_wildcard(text: Column, pattern: str) -> Column:
 
 
 def has_phrase(text: Column, terms: list[str]) -> Column:
-    """Whether the terms follow each other; all terms are looked for before texts are put together."""
+    """Whether the terms follow each other; all terms are looked for before their order is."""
     if not terms or not all(map(is_term, terms)):
         return F.lit(False)
-    found = has_term(text, terms[0])
+    found = text.contains(terms[0])
     for t in dict.fromkeys(terms[1:]):
         found = found & text.contains(t)
-    if len(terms) == 1:
-        return found
-    single = F.concat(F.lit(" "), F.regexp_replace(text, _RUN, " "), F.lit(" "))
-    return found & single.contains(f" {' '.join(terms)} ")
+    first = _starting(terms[0])
+    rest = "".join(f"{_RUN}{re.escape(t)}" for t in terms[1:])
+    return found & text.rlike(f"{first}{rest}(?!{_TERM})")
 
 
 def term_frequency(text: Column, term: str) -> Column:
     """How often the term occurs; 0 for null."""
     if not is_term(term):
         return F.lit(0).cast("long")
-    mark = f" {term} "
-    whole = framed(text)
-    n = (F.length(whole) - F.length(F.replace(whole, F.lit(mark), F.lit("")))) / F.lit(len(mark))
-    return F.when(text.contains(term), n.cast("long")).otherwise(F.lit(0).cast("long"))
+    n = F.regexp_count(text, F.lit(_whole(term))).cast("long")
+    return F.when(text.contains(term), n).otherwise(F.lit(0).cast("long"))

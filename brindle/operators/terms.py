@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.shipping import ready
 from brindle.functions.tokens import tok
 from brindle.plans.schema import Schema
 
+_TERMS = re.compile(r"[^ \t\n\f\r]+")
+
 
 def occurrences(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: list[str] | None = None) -> DataFrame:
     """field, term, id, at: a row for each term of each value; at is the place in the value, offset far apart between values."""
@@ -33,10 +40,47 @@ def occurrences(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: l
     return reduce(DataFrame.unionByName, parts)
 
 
+def _by_document(tokenized: bool, field: str):
+    """For mapInArrow over ids and values: a row for each term of a document, without a shuffle, since a document is in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, owners, ends, flat = [], [], [0], []
+            for k, value in enumerate(b.column(1).to_pylist()):
+                places: dict[str, list[int]] = {}
+                for n, text in enumerate(value if isinstance(value, list) else (value,)):
+                    if text is not None:
+                        for i, t in enumerate(_TERMS.findall(text) if tokenized else (text,), n << 32):
+                            places.setdefault(t, []).append(i)
+                terms += places
+                owners += [k] * len(places)
+                for at in places.values():
+                    flat += at
+                    ends.append(len(flat))
+            offsets = np.array(ends, np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+            arrays = [pa.array([field] * len(terms), pa.string()), pa.array(terms, pa.string()), b.column(0).take(pa.array(owners, pa.int32())), pa.array(np.diff(offsets).astype(np.int64)), positions]
+            yield pa.RecordBatch.from_arrays(arrays, ["field", "term", "id", "freq", "positions"])
+
+    return run
+
+
 def postings(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """field, term, id, freq, positions. Positions of different values are further apart than any phrase reaches."""
-    rows = occurrences(docs, schema, id_col, only).groupBy("field", "term", "id")
-    return rows.agg(F.count("*").alias("freq"), F.sort_array(F.collect_list("at")).alias("positions"))
+    """field, term, id, freq, positions, of documents with unique ids. Positions of different values are further apart than any phrase reaches."""
+    ready(docs.sparkSession)
+    id_type, parts = docs.schema[id_col].dataType.simpleString(), []
+    for spec in schema.fields.values():
+        if not spec.indexed or spec.name not in docs.columns or (only and spec.name not in only):
+            continue
+        col = F.col(spec.name)
+        rows = docs.where(col.isNotNull()).select(F.col(id_col).alias("id"), col.alias("value"))
+        if not spec.tokenized and not isinstance(docs.schema[spec.name].dataType, T.ArrayType):
+            parts.append(rows.select(F.lit(spec.name).alias("field"), F.col("value").alias("term"), "id", F.lit(1).cast("long").alias("freq"), F.array(F.lit(0).cast("long")).alias("positions")))
+        else:
+            parts.append(rows.mapInArrow(_by_document(spec.tokenized, spec.name), f"field string, term string, id {id_type}, freq long, positions array<long>"))
+    if not parts:
+        raise ValueError("no indexed field")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_postings(table: DataFrame, path: str) -> None:
