@@ -1,0 +1,131 @@
+"""Random query trees over a random corpus: rows, postings and a plain evaluation agree."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.operators import terms
+from brindle.operators.search import Searcher
+from brindle.plans.compile import ScanPlan
+from brindle.plans.query import And, Bool, MatchAll, Occur, Or, Phrase, Prefix, Range, Term, Terms, Wildcard, simplified
+from brindle.plans.schema import FieldSpec, Schema
+
+SCHEMA = Schema.of(FieldSpec.text("t", positions=True), FieldSpec.keyword("k"), FieldSpec.long_point("n"))
+WORDS = ["a", "ab", "abc", "b", "ba", "é", "é?", "a*", "a.b", "a%", "_b", "\\b", "a\x0bb", "😀", "(a", "a|b", "$a^"]
+
+
+def tokens(text):
+    return [] if text is None else re.findall(r"[^ \t\n\f\r]+", text)
+
+
+def glob(pattern):
+    return re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), re.S)
+
+
+def matches(q, d) -> bool:
+    if isinstance(q, MatchAll):
+        return True
+    if isinstance(q, Bool):
+        must, should, no = (q.of(o) for o in (Occur.MUST, Occur.SHOULD, Occur.MUST_NOT))
+        if not q.clauses or any(matches(x, d) for x in no):
+            return False
+        return all(matches(x, d) for x in must) if must else any(matches(x, d) for x in should) if should else True
+    if isinstance(q, Range):
+        return d["n"] is not None and q.low <= d["n"] <= q.high
+    have = tokens(d["t"]) if q.field == "t" else [d["k"]] if d["k"] is not None else []
+    if isinstance(q, Term):
+        return q.term in have
+    if isinstance(q, And):
+        return bool(q.terms) and set(q.terms) <= set(have)
+    if isinstance(q, (Or, Terms)):
+        return bool(set(q.terms) & set(have))
+    if isinstance(q, Prefix):
+        return any(x.startswith(q.prefix) for x in have)
+    if isinstance(q, Wildcard):
+        return any(glob(q.pattern).fullmatch(x) for x in have)
+    return bool(q.terms) and any(have[i : i + len(q.terms)] == list(q.terms) for i in range(len(have)))
+
+
+def tree(r, depth):
+    kind = r.randrange(9 if depth else 8)
+    field = r.choice("tttk")
+    some = lambda n: tuple(r.choice(WORDS) for _ in range(r.randint(0, n)))
+    if kind == 0:
+        return Term(field, r.choice([*WORDS, "a b", ""]))
+    if kind == 1:
+        return And(field, some(3))
+    if kind == 2:
+        return r.choice([Or, Terms])(field, some(20))
+    if kind == 3:
+        return Prefix(field, r.choice(["", "a", "é", "a%", "\\", "ab", " "]))
+    if kind == 4:
+        return Wildcard(field, r.choice(["*", "?", "a*", "*b", "a?b", "*a*", "a*c", "??", "é*", "*%*", "_?", "\\?", "*.*", "a|b", "(?"]))
+    if kind == 5:
+        return Phrase("t", some(3))
+    if kind == 6:
+        low = r.randint(-5, 10)
+        return Range("n", low, low + r.randint(0, 6))
+    if kind == 7:
+        return r.choice([MatchAll(), Range("t", 0, 1), Term("n", "1"), Term("x", "y")])
+    return Bool(tuple((r.choice(list(Occur)), tree(r, depth - 1)) for _ in range(r.randint(0, 4))))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    r = random.Random(17)
+    rows = [(0, None, None, None), (1, "", "", 0), (2, " \t\n", " ", 1)]
+    for i in range(3, 80):
+        text = "".join(r.choice(WORDS) + r.choice([" ", "  ", "\n", "\t ", "\r\n", "\f"]) for _ in range(r.randint(0, 8)))
+        rows.append((i, r.choice(["", " "]) + text + r.choice(["", "a"]) if r.random() > 0.1 else None, r.choice([*WORDS, None]), r.choice([*range(-3, 12), None])))
+    docs = spark.createDataFrame(rows, "doc_id long, t string, k string, n long").cache()
+    return docs, terms.postings(docs, SCHEMA).cache(), [dict(zip(("doc_id", "t", "k", "n"), x, strict=True)) for x in rows]
+
+
+def test_rows(corpus):
+    docs, _, rows = corpus
+    r = random.Random(1)
+    queries = [tree(r, 3) for _ in range(300)]
+    plan = ScanPlan(SCHEMA, docs.schema)
+    for at in range(0, len(queries), 50):
+        part = queries[at : at + 50]
+        got = docs.select("doc_id", *(F.coalesce(plan.column(q), F.lit(False)).alias(f"q{k}") for k, q in enumerate(part))).collect()
+        for k, q in enumerate(part):
+            found = sorted(x.doc_id for x in got if x[f"q{k}"])
+            want = [d["doc_id"] for d in rows if matches(_plain(q), d)]
+            assert found == want, q
+
+
+def _plain(q):
+    """Fields that can't be searched hold nothing."""
+    if isinstance(q, Bool):
+        return Bool(tuple((o, _plain(x)) for o, x in q.clauses))
+    if isinstance(q, Range) and q.field != "n" or isinstance(q, Term) and q.field not in ("t", "k"):
+        return Or("t", ())
+    return q
+
+
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_postings(corpus, seed):
+    docs, table, rows = corpus
+    q = tree(random.Random(100 + seed), 2)
+    found = sorted(x[0] for x in Searcher(docs, SCHEMA, strategy="postings", postings=table).ids(q).collect())
+    assert found == [d["doc_id"] for d in rows if matches(_plain(q), d)], q
+
+
+def test_simplified_means_the_same(corpus):
+    r, rows = random.Random(2), corpus[2]
+    for _ in range(2000):
+        q = _plain(tree(r, 3))
+        s = simplified(q)
+        if type(s).__name__ != "MatchNone":
+            assert [matches(s, d) for d in rows] == [matches(q, d) for d in rows], q
+        else:
+            assert not any(matches(q, d) for d in rows), q
+
+
