@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brindle.functions.labels import labels_str
 
 SERIES = ("metric_name", "labels")
-FIVE_MINUTES, ONE_HOUR = 300_000, 3_600_000
+FIVE_MINUTES, ONE_HOUR, ONE_DAY = 300_000, 3_600_000, 86_400_000
 
 
 def points(rows: DataFrame, name: Column, labels: Column, ts_ms: Column, value: Column, shard: Column | None = None, seq: Column | None = None) -> DataFrame:
@@ -30,10 +30,14 @@ def bucket_of(ts_ms: Column, gran_ms: int) -> Column:
     return ts_ms - ts_ms % F.lit(gran_ms)
 
 
-def packed(pts: DataFrame) -> DataFrame:
-    """A row a series: first and last time, the number of points, and the points in time order."""
-    rows = pts.groupBy(*SERIES).agg(F.min("ts_ms").alias("time_min"), F.max("ts_ms").alias("time_max"), F.count("*").alias("sample_count"), F.array_sort(F.collect_list(F.struct(F.col("ts_ms").alias("t"), F.col("value").alias("v")))).alias("samples"))
-    return rows
+def packed(pts: DataFrame, chunk_ms: int = ONE_DAY) -> DataFrame:
+    """A row for a series and a stretch of time: first and last time, the number of points, and the points in time order.
+
+    The stretch bounds a row, however long the series.
+    """
+    rows = pts.groupBy(*SERIES, bucket_of(F.col("ts_ms"), chunk_ms).alias("chunk"))
+    samples = F.array_sort(F.collect_list(F.struct(F.col("ts_ms").alias("t"), F.col("value").alias("v"))))
+    return rows.agg(F.min("ts_ms").alias("time_min"), F.max("ts_ms").alias("time_max"), F.count("*").alias("sample_count"), samples.alias("samples")).drop("chunk")
 
 
 def unpacked(series: DataFrame) -> DataFrame:

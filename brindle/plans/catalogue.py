@@ -258,7 +258,7 @@ def _(spark, sf_dir):
 
 @register("sorted_dict", "SELECT value, row_number() OVER (ORDER BY value) - 1 AS ord FROM (SELECT DISTINCT source AS value FROM documents WHERE source IS NOT NULL)")
 def _(spark, sf_dir):
-    return terms.sorted_dictionary(documents(spark, sf_dir), "source")
+    return terms.sorted_dictionary(documents(spark, sf_dir), "source", ranges=4)
 
 
 @register("numeric_values", f"SELECT doc_id, quality::BIGINT AS quality FROM {D} WHERE quality IS NOT NULL")
@@ -430,9 +430,18 @@ def _rounded(df: DataFrame) -> DataFrame:
 register("labels_str", "SELECT DISTINCT '$#$type=' || event_type || '$#$user=' || user_id || '$#$' AS labels FROM events")(lambda s, d: table(s, d, "events").select(labels.labels_str(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))).alias("labels")).distinct())
 register("labels_parse", "SELECT DISTINCT user_id::VARCHAR AS user, event_type AS type FROM events")(lambda s, d: table(s, d, "events").select(F.concat(F.lit("$#$type="), "event_type", F.lit("$#$user="), F.col("user_id").cast("string"), F.lit("$#$")).alias("labels")).distinct().select(labels.label(F.col("labels"), "user").alias("user"), labels.label(F.col("labels"), "type").alias("type")))
 register("metric_query_by_label", f"SELECT ts_ms, value FROM {P} WHERE metric_name = 'click' AND labels = '$#$user=5$#$'")(lambda s, d: event_points(s, d).where((F.col("metric_name") == "click") & (labels.label(F.col("labels"), "user") == "5")).select("ts_ms", "value"))
-register("series_pack", f"SELECT metric_name, labels, min(ts_ms) AS time_min, max(ts_ms) AS time_max, count(*) AS sample_count, list({{'t': ts_ms, 'v': value}} ORDER BY ts_ms, value)::VARCHAR AS samples FROM {P} GROUP BY metric_name, labels".replace("list({'t': ts_ms, 'v': value} ORDER BY ts_ms, value)::VARCHAR AS samples", "list(ts_ms ORDER BY ts_ms) AS times, list(value ORDER BY ts_ms, value) AS samples"))(
+register("series_pack", f"SELECT metric_name, labels, min(ts_ms) AS time_min, max(ts_ms) AS time_max, count(*) AS sample_count, list(ts_ms ORDER BY ts_ms) AS times, list(value ORDER BY ts_ms, value) AS samples FROM {P} GROUP BY metric_name, labels, ts_ms - ts_ms % 86400000")(
     lambda s, d: metrics.packed(event_points(s, d)).select("metric_name", "labels", "time_min", "time_max", "sample_count", F.col("samples.t").alias("times"), F.col("samples.v").alias("samples"))
 )
+register("series_stats", f"SELECT metric_name, labels, min(ts_ms) AS time_min, max(ts_ms) AS time_max, count(*) AS sample_count FROM {P} GROUP BY metric_name, labels")(lambda s, d: metrics.series_stats(event_points(s, d)))
+
+
+@register("shard_metadata", f"SELECT count(*) AS total_samples, count(DISTINCT metric_name || labels) AS series_count, min(ts_ms) AS min_time, max(ts_ms) AS max_time FROM {P}")
+def _(spark, sf_dir):
+    told = metrics.ShardMetadata("org", "2026-01-01", 1).with_points(event_points(spark, sf_dir))
+    return spark.createDataFrame([(told.total_samples, told.series_count, told.min_time, told.max_time)], "total_samples long, series_count long, min_time long, max_time long")
+
+
 register("series_unpack", f"SELECT * FROM {P}")(lambda s, d: metrics.unpacked(metrics.packed(event_points(s, d))))
 register("series_list", f"SELECT DISTINCT metric_name, labels FROM {P}")(lambda s, d: metrics.series_of(event_points(s, d)))
 register("series_hash")(lambda s, d: metrics.series_of(event_points(s, d)).withColumn("series_hash", labels.series_hash(F.col("metric_name"), F.col("labels"))))
@@ -458,6 +467,7 @@ def _merged_shards(spark, sf_dir, name: str) -> DataFrame:
 
 
 register("merge_cross_shard_compact", f"SELECT * FROM {P2}")(lambda s, d: _merged_shards(s, d, "compact"))
+register("merge_cross_shard_5m", _ROUNDED + _buckets(P2, 300000))(lambda s, d: _rounded(_merged_shards(s, d, "5m")))
 register("merge_cross_shard_1h", _ROUNDED + _buckets(P2, 3600000))(lambda s, d: _rounded(_merged_shards(s, d, "1h")))
 
 
