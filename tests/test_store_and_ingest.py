@@ -131,6 +131,37 @@ def test_text_files(spark, tmp_path):
     assert [r.message for r in more][:6] == ["first", "second é", "third line", "fourth", "first", "second é"] and len(more) == 10
 
 
+def test_large_text_files_are_split(spark, tmp_path):
+    texts = {name: [f"{name} line {k} " + "x" * (k % 50) if k % 7 else "" for k in range(300)] for name in ("a", "b")}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.log").write_text("\n".join(lines))
+    keys = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100"}
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = text_files.read(spark, str(tmp_path))
+        assert rows.select("source", "split").distinct().count() > 4
+        got = text_files.numbered(rows).orderBy("doc_id").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = [(x.strip(), k + 1) for name in ("a", "b") for k, x in enumerate(texts[name]) if x]
+    assert [(r.message, r.line) for r in got] == want and [r.doc_id for r in got] == list(range(len(want)))
+
+
+def test_late_points_and_watermarks(spark, tmp_path):
+    src = str(tmp_path / "points")
+    for t in (0, 3_600_000, 7_200_000, 10):  # the last comes far behind the watermark
+        spark.createDataFrame([("m", "$#$", t, 1.0)], "metric_name string, labels string, ts_ms long, value double").coalesce(1).write.mode("append").parquet(src)
+        import time
+
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {r.bucket_time: r["count"] for r in live.into_memory(live.downsampled(stream, lateness="10 minutes"), "late_buckets", "append").collect()}
+    assert got[0] == 1 and 3_600_000 in got
+
+
 def test_streams(spark, tmp_path):
     src, path = str(tmp_path / "in"), str(tmp_path / "table")
     for k in range(3):
