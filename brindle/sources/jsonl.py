@@ -1,7 +1,7 @@
 """JSON lines to documents of a schema.
 
 A line that isn't a JSON object is skipped; a value that doesn't fit its field
-leaves only that field empty.
+leaves only that field empty. Of equal keys in a line the first counts.
 """
 
 from __future__ import annotations
@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from brindle.plans.schema import FieldSpec, Schema
 
 
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _object(line: Column) -> Column:
+    """A line as a map of variants; null unless it is one JSON object."""
+    got = F.from_json(line, "map<string,variant>", _STRICT)
+    return F.when(F.rtrim(F.translate(line, "\t\r\n", "   ")).endswith("}"), got)
+
+
 def parsed(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Adds _object, a map of variants: null for lines that are no object. Blank lines go."""
     kept = lines.where(F.trim(F.col(line_col)) != "")
-    return kept.withColumn("_object", F.from_json(F.col(line_col), "map<string,variant>", {"mode": "PERMISSIVE"}))
+    return kept.withColumn("_object", _object(F.col(line_col)))
 
 
 def _kind(value: Column) -> Column:
@@ -32,7 +41,7 @@ def coerced(spec: FieldSpec, value: Column) -> Column:
     """A JSON value as the field's type; null where it doesn't fit."""
     text = F.when(_plain(value), F.try_variant_get(value, "$", "string"))
     if spec.kind in ("long", "int"):
-        whole = F.trim(text).rlike(r"^[+-]?[0-9]+$") & (_kind(value) != "BOOLEAN")
+        whole = F.trim(text).rlike(r"^[+-]?[0-9]+$") & _kind(value).isin("BIGINT", "STRING")
         return F.when(whole, F.trim(text).try_cast("bigint" if spec.kind == "long" else "int"))
     if spec.kind == "bytes":
         return text.cast("binary")
@@ -71,5 +80,5 @@ def bind(lines: DataFrame, schema: Schema, line_col: str = "value", order: Colum
 
 def counts(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """ok and failed lines."""
-    fine = F.from_json(F.col(line_col), "map<string,variant>").isNotNull()
+    fine = _object(F.col(line_col)).isNotNull()
     return lines.where(F.trim(F.col(line_col)) != "").agg(F.count_if(fine).alias("ok"), F.count_if(~fine).alias("failed"))

@@ -107,6 +107,12 @@ def test_json_lines(spark):
     assert tuple(jsonl.counts(df).first()) == (5, 3)
 
 
+def test_strict_json(spark):
+    lines = ['{"level":1,"level":2}', '{"level": 1} more', "{'level': 1}", '{"level": NaN}', '{"latency_ms": 5.0}', '{"latency_ms": "1e3"}', '{"latency_ms": "+7"} \t', '{"level":"\\u00e9", "":5}']
+    got, _ = bind(spark, lines, SPEC)
+    assert {k: (v["level"], v["latency_ms"]) for k, v in got.items()} == {0: ("1", None), 4: (None, None), 5: (None, None), 6: (None, 7), 7: ("é", None)}
+
+
 def test_unknown_keys(spark):
     lines = ['{"a": 7, "b": "x", "c": true, "d": 1.5, "e": null, "f": {"x": 1}}', '{"a": "later", "e": 3}']
     got, schema = bind(spark, lines, "$policy=dynamic,b:text")
