@@ -26,7 +26,7 @@ from brindle.llm import common as C
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 1024
 #: Up to so many sources their table is broadcast; beyond, it is joined by salted source.
 BROADCAST_SOURCES = 20_000
 _SALTS = 32

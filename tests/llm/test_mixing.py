@@ -53,7 +53,7 @@ def test_definition(docs, corpus):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("rows_per_range", [3, 4096])
+@pytest.mark.parametrize("rows_per_range", [3, 1024])
 def test_hot_sources(spark, seed, rows_per_range, monkeypatch):
     monkeypatch.setattr(X, "ROWS_PER_RANGE", rows_per_range)
     r = random.Random(seed)
