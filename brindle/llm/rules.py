@@ -5,9 +5,11 @@ words in repeated five-word windows) and the base verdict are exact. The method
 adds a character four-gram model with modified Kneser-Ney smoothing for every
 language: n-grams of all whole texts are counted with Spark (pre-aggregated in
 each task), continuation counts, discounts and back-off weights are DataFrame
-aggregations over the distinct n-grams, and the finished probabilities are
-stored as one sorted array of hash slots with a parallel array of values. Their
-number is bounded by 2**SLOT_BITS whatever the corpus. A text's log perplexity
+aggregations over the distinct n-grams. For each language and order the finished
+probabilities are a sorted array of the n-grams themselves with a parallel array
+of values, 12 bytes an entry: nothing is hashed or left out, an n-gram that was
+not counted is never found, and the arrays grow with the number of distinct
+n-grams of the corpus. A text's log perplexity
 is the mean negative log probability of its n-grams; the bands lie around the
 median of its language, in units of its robust spread, over all documents.
 
@@ -16,12 +18,12 @@ language, and any beyond the MAX_LANGUAGES most frequent, share one model and
 band; a text with fewer than MIN_GRAMS n-grams has no perplexity verdict; an
 empty table gives no rows; repeated rows count as often as they occur and are
 judged row by row. Other columns of the input play no part, whatever their
-names. Code points above 4095 are folded into 4096 classes for the model only.
+names. The model's characters are UTF-16 units, so that four of them fill 64 bits
+and none are folded; a code point above 65535 counts as two.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,7 @@ from pyspark.sql import functions as F
 from brindle.llm import common as C
 
 ORDER = 4
-CHAR_BITS = 12
-SLOT_BITS = 23
+CHAR_BITS = 16
 MAX_LANGUAGES = 256
 MIN_GRAMS = 150
 #: Bands: so many robust spreads below and above the median log perplexity; a spread counts as MIN_SPREAD at least.
@@ -79,15 +80,15 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
 
 def gram_codes(text: str | None) -> Iterator[np.ndarray]:
     """The n-grams of a text as integers, oldest character highest."""
-    for part in C.text_chunks(text or "", _CHUNK, ORDER - 1):
-        codes = (C.code_points(part) & ((1 << CHAR_BITS) - 1)).astype(np.int64)
+    units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), np.uint16)
+    for at in range(0, len(units) - ORDER + 1, _CHUNK):
+        codes = units[at : at + _CHUNK + ORDER - 1].astype(np.uint64)
         m = len(codes) - ORDER + 1
-        if m > 0:
-            out = np.zeros(m, np.int64)
-            for k in range(ORDER):
-                out <<= CHAR_BITS
-                out |= codes[k : k + m]
-            yield out
+        out = np.zeros(m, np.uint64)
+        for k in range(ORDER):
+            out <<= np.uint64(CHAR_BITS)
+            out |= codes[k : k + m]
+        yield out
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, parts in held.items():
             codes, n = _summed(parts)
             for at in range(0, len(codes), 1 << 17):
-                yield pd.DataFrame({"lang": lang, "code": codes[at : at + (1 << 17)], "c": n[at : at + (1 << 17)]})
+                yield pd.DataFrame({"lang": lang, "code": codes[at : at + (1 << 17)].view(np.int64), "c": n[at : at + (1 << 17)]})
 
     for b in batches:
         for lang, texts in b.groupby("lang").text:
@@ -124,12 +125,6 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from out()
 
 
-def slots(lang: str, kind: int, codes: np.ndarray) -> np.ndarray:
-    """Hash slots of n-grams; kind is the order, or minus the length of a context."""
-    seed = np.uint64((zlib.crc32(lang.encode()) << 8) + kind + 16)
-    return (C.mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + C.mix64(np.array([seed]))) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
@@ -149,7 +144,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    every = C.staged(every.withColumn("ctx", F.shiftright("code", CHAR_BITS)), "grams")
+    every = C.staged(every.withColumn("ctx", F.shiftrightunsigned("code", CHAR_BITS)), "grams")
     ones = [F.sum((F.col("c") == j).cast("long")).alias(f"n{j}") for j in (1, 2, 3, 4)]
     told = every.groupBy("k", "lang").agg(*ones, F.count("*").alias("kinds")).collect()  # a row for each order and language
     few = spark.createDataFrame([(r.k, r.lang, *discounts(r.n1, r.n2, r.n3, r.n4), float(r.kinds + 1)) for r in told] or [(0, "", 0.0, 0.0, 0.0, 1.0)], "k int, lang string, d1 double, d2 double, d3 double, kinds double")
@@ -176,20 +171,21 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The tables as one sorted array of slots and one of values, with direct lookup."""
+    """For each language and kind (the order, or minus the length of a context) sorted n-grams and their values."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
-        self.dense: np.ndarray | None = None
+    def __init__(self, tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.tables = tables
 
-    def __getstate__(self) -> dict:
-        return {"keys": self.keys, "values": self.values, "dense": None}
+    def knows(self, lang: str) -> bool:
+        return (lang, ORDER) in self.tables
 
     def look(self, lang: str, kind: int, codes: np.ndarray) -> np.ndarray:
-        if self.dense is None:
-            self.dense = np.full(1 << SLOT_BITS, np.nan, np.float32)
-            self.dense[self.keys] = self.values
-        return self.dense[slots(lang, kind, codes)]
+        """Values of n-grams, not a number where one isn't stored."""
+        if (lang, kind) not in self.tables:
+            return np.full(len(codes), np.nan, np.float32)
+        keys, values = self.tables[lang, kind]
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        return np.where(keys[at] == codes, values[at], np.float32(np.nan))
 
     def log_probabilities(self, lang: str, codes: np.ndarray) -> np.ndarray:
         """Of n-grams, backing off where one isn't stored."""
@@ -199,9 +195,9 @@ class Model:
         for k in range(ORDER - 1, 0, -1):
             if not len(lost):
                 break
-            tail = codes[lost] & ((1 << CHAR_BITS * (k + 1)) - 1)
-            penalty += np.nan_to_num(self.look(lang, -k, tail >> CHAR_BITS), nan=0.0)
-            got = self.look(lang, k, tail & ((1 << CHAR_BITS * k) - 1)) + penalty
+            tail = codes[lost] & np.uint64((1 << CHAR_BITS * (k + 1)) - 1)
+            penalty += np.nan_to_num(self.look(lang, -k, tail >> np.uint64(CHAR_BITS)), nan=0.0)
+            got = self.look(lang, k, tail & np.uint64((1 << CHAR_BITS * k) - 1)) + penalty
             if k == 1:
                 got = np.nan_to_num(got, nan=-20.0)
             hit = ~np.isnan(got)
@@ -214,19 +210,14 @@ def fit(docs: DataFrame) -> Model:
     """docs: lang (not null) and text."""
     C.ready(docs.sparkSession)
     grams = docs.mapInPandas(count_grams, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["slot"] = np.uint32(0)
-            for (lang, kind), part in b.groupby(["lang", "kind"]):
-                b.loc[part.index, "slot"] = slots(lang, int(kind), part.code.to_numpy())
-            yield pd.DataFrame({"slot": b.slot.astype(np.int32), "value": b.value.astype(np.float32), "c": b.c})
-
-    rows = kneser_ney(grams).mapInPandas(placed, "slot int, value float, c long")
-    got = rows.groupBy("slot").agg(F.max_by("value", F.struct("c", "value")).alias("value")).toArrow()  # 2**SLOT_BITS rows at most
-    keys, values = got["slot"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float32)
-    order = np.argsort(keys)
-    return Model(keys[order], values[order])
+    got = kneser_ney(grams).select("lang", "kind", "code", F.col("value").cast("float").alias("value")).toArrow()  # a row for each distinct n-gram
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    names, lang = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    kind, codes, values = got["kind"].to_numpy(), got["code"].to_numpy().view(np.uint64), got["value"].to_numpy()
+    order = np.lexsort((codes, kind, lang))
+    lang, kind, codes, values = lang[order], kind[order], codes[order], values[order]
+    edges = [0, *(np.flatnonzero((lang[1:] != lang[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(lang)]
+    return Model({(names[lang[a]], int(kind[a])): (codes[a:b], values[a:b]) for a, b in zip(edges, edges[1:]) if b > a})
 
 
 def language_key(docs: DataFrame, lang_col: str) -> Column:
@@ -240,7 +231,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Counts, perplexity and verdict of every document."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), language_key(docs, lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(fit(texts.select("lang", "text")))  # bounded by 2**SLOT_BITS entries
+    model = spark.sparkContext.broadcast(fit(texts.select("lang", "text")))  # grows with the distinct n-grams
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_ppl double")
     def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

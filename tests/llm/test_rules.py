@@ -103,3 +103,17 @@ def test_bands_reject_odd_texts(spark):
     got = {x.doc_id: x for x in R.judged(spark.createDataFrame([*rows, row(900, odd)], STRUCT)).collect()}
     assert not got[900].base_failed and all(got[i].kept for i in range(200))
     assert got[900].perplexity != got[0].perplexity
+
+
+def test_no_gram_is_lost_or_taken_for_another(spark):
+    r = random.Random(8)
+    text = "".join(chr(r.choice([r.randint(0x61, 0x7A), r.randint(0x4E00, 0x9000), r.randint(0x1F300, 0x1F5FF)])) for _ in range(30_000))
+    model = R.fit(spark.createDataFrame([("zh", text), ("en", text[::-1])], "lang string, text string"))
+    for lang, t in (("zh", text), ("en", text[::-1])):
+        codes = np.unique(np.concatenate(list(R.gram_codes(t))))
+        assert (model.tables[lang, R.ORDER][0] == codes).all()
+    units = text.encode("utf-16-le")
+    assert len(model.tables["zh", R.ORDER][0]) == len({units[i : i + 8] for i in range(0, len(units) - 7, 2)})
+    absent = np.concatenate(list(R.gram_codes("".join(chr(r.randint(0x400, 0x4FF)) for _ in range(50_000)))))
+    assert np.isnan(model.look("zh", R.ORDER, absent)).all()
+    assert not (np.concatenate(list(R.gram_codes("aabc"))) == np.concatenate(list(R.gram_codes("aၡbc")))).any()
