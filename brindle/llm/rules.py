@@ -9,14 +9,17 @@ aggregations over the distinct n-grams. For each language and order the finished
 probabilities are a sorted array of the n-grams themselves with a parallel array
 of values, 12 bytes an entry: nothing is hashed or left out, an n-gram that was
 not counted is never found, and the arrays grow with the number of distinct
-n-grams of the corpus. A text's log perplexity
-is the mean negative log probability of its n-grams; the bands lie around the
-median of its language, in units of its robust spread, over all documents.
+n-grams of the corpus. A text's log perplexity is the mean negative log
+probability of its n-grams. Texts are split by a hash into two halves, each half
+has a model of its own, and a text is scored by the model of the other half, so
+that it can't vouch for itself. The bands lie around the median of the texts of
+the language that the same model scores, in units of their robust spread; they
+widen with the square root of the median length over the text's for shorter ones.
 
 Defined cases: a null text counts as empty and fails the base rules; a null
 language, and any beyond the MAX_LANGUAGES most frequent, share one model and
-band; a text with fewer than MIN_GRAMS n-grams has no perplexity verdict; an
-empty table gives no rows; repeated rows count as often as they occur and are
+band; a text without n-grams, or whose language has no text in the other half,
+has no perplexity and no verdict by it; an empty table gives no rows; repeated rows count as often as they occur and are
 judged row by row. Other columns of the input play no part, whatever their
 names. The model's characters are UTF-16 units, so that four of them fill 64 bits
 and none are folded; a code point above 65535 counts as two.
@@ -36,9 +39,8 @@ from brindle.llm import common as C
 ORDER = 4
 CHAR_BITS = 16
 MAX_LANGUAGES = 256
-MIN_GRAMS = 150
 #: Bands: so many robust spreads below and above the median log perplexity; a spread counts as MIN_SPREAD at least.
-BELOW, ABOVE, MIN_SPREAD = 8.0, 25.0, 0.03
+BELOW, ABOVE, MIN_SPREAD = 4.0, 8.0, 0.02
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
 _CHUNK = 1 << 20
@@ -227,29 +229,36 @@ def language_key(docs: DataFrame, lang_col: str) -> Column:
     return F.when(lang.isin(known), lang).otherwise("") if known else F.lit("")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts, perplexity and verdict of every document."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts and log perplexity of every document, by the model of the language's other half."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), language_key(docs, lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(fit(texts.select("lang", "text")))  # grows with the distinct n-grams
+    half = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2)).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), language_key(docs, lang_col).alias("lang"), half.alias("half"), F.col(text_col).alias("text"))
+    model = spark.sparkContext.broadcast(fit(texts.select(F.concat("half", "lang").alias("lang"), "text")))  # grows with the distinct n-grams
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_ppl double")
     def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, langs in batches:
+        for texts, keys in batches:
             rows = []
-            for text, lang in zip(texts, langs, strict=True):
+            for text, key in zip(texts, keys, strict=True):
                 total, n = 0.0, 0
                 for codes in gram_codes(text):
-                    total -= float(model.value.log_probabilities(lang, codes).sum(dtype=np.float64))
+                    total -= float(model.value.log_probabilities(key, codes).sum(dtype=np.float64))
                     n += len(codes)
-                rows.append((*base_counts(text), n, total / n if n else 0.0))
-            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log_ppl"])
+                rows.append((*base_counts(text), n, total / n if n and model.value.knows(key) else None))
+            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log_ppl"]).astype({"log_ppl": "float64"})
+
+    texts = texts.withColumn("other", F.concat(F.when(F.col("half") == "0", "1").otherwise("0"), "lang"))
+    return C.staged(texts.select("doc_id", "other", counted("text", "other").alias("x")).select("doc_id", "other", "x.*"), "counts")
 
-    rows = C.staged(texts.select("doc_id", "lang", counted("text", "lang").alias("x")).select("doc_id", "lang", "x.*"), "counts")
-    quarters = rows.where(F.col("n_grams") >= MIN_GRAMS).groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
-    bands = quarters.select("lang", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(MIN_SPREAD)).alias("spread"))
-    bands = bands.select("lang", (F.col("mid") - BELOW * F.col("spread")).alias("low"), (F.col("mid") + ABOVE * F.col("spread")).alias("high"))
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts, perplexity and verdict of every document."""
+    rows = measured(docs, id_col, text_col, lang_col)
+    quarters = rows.where("log_ppl is not null").groupBy("other").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"), F.percentile_approx("n_grams", 0.5, 10000).alias("usual"))
+    bands = quarters.select("other", "usual", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(MIN_SPREAD)).alias("spread"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    out = rows.join(F.broadcast(bands), "lang", "left")  # a row for each language, MAX_LANGUAGES + 1 at most
-    inside = F.coalesce((F.col("n_grams") < MIN_GRAMS) | F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.when(F.col("n_grams") > 0, F.exp("log_ppl")).alias("perplexity"))
+    out = rows.join(F.broadcast(bands), "other", "left")  # two rows for each language, 2 * (MAX_LANGUAGES + 1) at most
+    off = (F.col("log_ppl") - F.col("mid")) / (F.col("spread") * F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.lit(1), F.col("n_grams")))))
+    inside = F.coalesce(off.between(-BELOW, ABOVE), F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"))

@@ -117,3 +117,15 @@ def test_no_gram_is_lost_or_taken_for_another(spark):
     absent = np.concatenate(list(R.gram_codes("".join(chr(r.randint(0x400, 0x4FF)) for _ in range(50_000)))))
     assert np.isnan(model.look("zh", R.ORDER, absent)).all()
     assert not (np.concatenate(list(R.gram_codes("aabc"))) == np.concatenate(list(R.gram_codes("aၡbc")))).any()
+
+
+def test_bands_reject_junk_of_any_length(spark):
+    r = random.Random(9)
+    rows = [row(i, sentence(r, ["en", "fr"][i % 2], r.randint(60, 140)), ["en", "fr"][i % 2]) for i in range(400)]
+    letters = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(n))
+    junk = [row(1000, letters(150)), row(1001, letters(15)), row(1002, sentence(r, "en", 100), "fr"), row(1003, sentence(r, "fr", 15), "en")]
+    junk.append(row(1004, " ".join(w + r.choice(["%%%", "&&&", "$$$"]) for w in sentence(r, "en", 100).split())))
+    short = [row(2000 + i, sentence(r, "en", 15)) for i in range(20)]
+    got = {x.doc_id: x for x in R.judged(spark.createDataFrame([*rows, *junk, *short], STRUCT)).collect()}
+    assert {i for i, x in got.items() if not x.kept} == {1000, 1001, 1002, 1003, 1004}
+    assert not any(x.base_failed for x in got.values())
