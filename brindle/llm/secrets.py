@@ -3,8 +3,11 @@ r"""Secret scans with a recursive decoding worklist.
 The base scan finds three kinds in the text itself, leftmost and
 non-overlapping per kind: `assign`, `access` and `hex`. Then layers are
 unwrapped: percent escapes, Unicode escapes (\uXXXX, \UXXXXXXXX, \xXX, numeric
-character references), base64 (both alphabets) and what it may hold compressed
-(gzip, zlib, bzip2, xz, zstandard). Every new layer is scanned with the same
+character references), base64 (both alphabets, also wrapped into lines of
+MIN_RUN or more characters) and what it may hold compressed (gzip, zlib, bzip2,
+xz, zstandard, all members of a sequence). Decoded bytes that aren't plain UTF-8
+are read byte for byte, once more without NULs (UTF-16 and UTF-32), and count as
+a layer if they hold a secret or something encoded. Every new layer is scanned with the same
 patterns and unwrapped again, until no layer is new; a layer met before (same
 text from the same place) ends its chain, so cycles end too. Each layer maps
 its characters to the original ones: escapes exactly, the content of an encoded
@@ -54,6 +57,9 @@ MARK = "[SECRET]"
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
+_BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|\\r\\n|\\n)[ \t]*+")
+#: Possessive and from the start of a run only, or a long run would be tried from each of its characters.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:%s[A-Za-z0-9+/_-]{%d,}+)*+(?:%s[A-Za-z0-9+/_-]++)?={0,2}" % (MIN_RUN, _BREAK.pattern, MIN_RUN, _BREAK.pattern))
 _PIECES = re.compile(r"[A-Za-z0-9]{%d,}={0,2}" % MIN_RUN)
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -86,16 +92,13 @@ class Layer:
         return (self.text, int(self.starts[0]), int(self.ends[-1])) if n else ("", 0, 0)
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    """Characters of an escaped run with their places in it; None if it isn't UTF-8."""
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except ValueError:
-        return None
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    """Characters of an escaped run with their places in it; a byte that isn't UTF-8 is its Latin-1 character."""
     out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode("utf-8"))
-        out.append((c, at, at + n))
+    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        lone = 0xDC80 <= ord(c) <= 0xDCFF
+        n = 3 if lone else 3 * len(c.encode("utf-8"))
+        out.append((chr(ord(c) - 0xDC00) if lone else c, at, at + n))
         at += n
     return out
 
@@ -136,28 +139,43 @@ class Budget:
         self.left, self.unopened = left, 0
 
 
+def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """The first compressed member opened, up to room bytes, and what follows it; None if there is none."""
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+        d = zlib.decompressobj(47)
+        return d.decompress(data, room), d.unused_data
+    if data[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+        return d.decompress(data, room), d.unused_data
+    if data[:6] == b"\xfd7zXZ\x00":
+        d = lzma.LZMADecompressor(memlimit=1 << 28)
+        return d.decompress(data, room), d.unused_data
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data, read_across_frames=True) as r:
+            return r.read(room), b""
+    return None
+
+
 def _expand(data: bytes, budget: Budget) -> bytes | None:
-    """One compressed layer opened; None if the bytes aren't one or it is too large."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, budget.left + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, budget.left + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor(memlimit=1 << 28).decompress(data, budget.left + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
-                out = r.read(budget.left + 1)
-        else:
+    """All members of a compressed layer opened; None if the bytes aren't one or it is too large."""
+    out, size = [], 0
+    while data:
+        try:
+            got = _member(data, budget.left - size + 1)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            got = None
+        if got is None:
+            break
+        out.append(got[0])
+        size += len(got[0])
+        if size > budget.left:
+            budget.unopened += 1
             return None
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > budget.left:
-        budget.unopened += 1
+        data = got[1].lstrip(b"\0")  # padding between members
+    if not out:
         return None
-    budget.left -= len(out)
-    return out
+    budget.left -= size
+    return b"".join(out)
 
 
 def _readable(data: bytes) -> str | None:
@@ -169,43 +187,88 @@ def _readable(data: bytes) -> str | None:
     return None if any(ord(c) < 32 and c not in "\t\n\r\f\v" or ord(c) == 127 for c in text) else text
 
 
-def _base64(run: str, budget: Budget) -> str | None:
-    """The text in a base64 run, or in what it holds compressed."""
+def _hidden(data: bytes) -> str | None:
+    """Other bytes as characters, and again without NULs, as far as these hold a secret or something encoded."""
+    every = [data.decode("latin-1")]
+    if b"\0" in data:
+        every.append(data.replace(b"\0", b"").decode("latin-1"))
+    return "\n\0\n".join(t for t in every if base_spans(t) or any(p.search(t) for p in (_PERCENT, _UNICODE, _RUN))) or None
+
+
+def _base64(run: str, budget: Budget) -> tuple[str, bool] | None:
+    """The text in a base64 run, or in what it holds compressed, and whether all of it is plain text."""
     body = run.rstrip("=")
-    if len(body) % 4 == 1 or "-" in body and ("+" in body or "/" in body):
+    if "-" in body and ("+" in body or "/" in body):
         return None
+    whole = len(body) % 4 != 1
+    body = body if whole else body[:-1]
     try:
         data = base64.b64decode((body + "=" * (-len(body) % 4)).translate(_URL_SAFE), validate=True)
     except (binascii.Error, ValueError):
         return None
     met = set()
-    while (text := _readable(data)) is None:
+    while not whole or (text := _readable(data)) is None:
         if data in met or (opened := _expand(data, budget)) is None:
-            return None
+            text = _hidden(data)
+            return (text, False) if text else None
         met.add(data)
-        data = opened
-    return text or None
+        data, whole = opened, True
+    return (text, True) if text else None
 
 
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
+def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
+    """Groups of lines that base64 may be wrapped into: first all of them, then those of one width with a line before and a rest."""
+    for m in _LINES.finditer(text):
+        breaks = [(m.start() + x.start(), m.start() + x.end()) for x in _BREAK.finditer(m[0])]
+        if not breaks:
+            continue
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+        wide, at, tries = [b - a for a, b in lines], 0, {(0, len(lines)): None}
+        while at < len(lines) - 1:
+            end = at + 2
+            while end < len(lines) and wide[end] == wide[at + 1]:
+                end += 1
+            rest = end + (end < len(lines) and wide[end] < wide[at + 1])
+            for a in (at, at + 1):
+                tries |= {(a, z): None for z in (rest, end, end - 1) if z - a > 1}
+            at = end - 1
+        yield [lines[a:z] for a, z in tries]
+
+
 def children(layer: Layer, budget: Budget) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (got := _unescape(layer, _PERCENT, _percent)):
         yield got
     if ("\\" in text or "&#" in text) and (got := _unescape(layer, _UNICODE, _unicode)):
         yield got
+
+    def placed(got: str, a: int, b: int) -> Layer:
+        return Layer(got, np.full(len(got), layer.starts[a]), np.full(len(got), layer.ends[b - 1]))
+
+    done = []
+    for tries in _wrapped(text):
+        for lines in tries:
+            if got := _base64("".join(text[a:b] for a, b in lines), budget):
+                yield placed(got[0], lines[0][0], lines[-1][1])
+                if got[1]:
+                    done.append((lines[0][0], lines[-1][1]))
+                    break
+    done.reverse()
     for m in _RUN.finditer(text):
+        while done and done[-1][1] <= m.start():
+            done.pop()
+        if done and done[-1][0] <= m.start() and m.end() <= done[-1][1]:
+            continue  # a line of what is open already
         inner = [(m.start(), m.end())]
         inside = _base64(m[0], budget)
-        if inside is None and not m[0].rstrip("=").isalnum():
-            inner = [(m.start() + p.start(), m.start() + p.end()) for p in _PIECES.finditer(m[0])]
-        for a, b in inner:
-            got = inside if (a, b) == (m.start(), m.end()) else _base64(text[a:b], budget)
-            if got:
-                n = len(got)
-                yield Layer(got, np.full(n, layer.starts[a]), np.full(n, layer.ends[b - 1]))
+        if (inside is None or not inside[1]) and not m[0].rstrip("=").isalnum():
+            inner += [(m.start() + p.start(), m.start() + p.end()) for p in _PIECES.finditer(m[0])]
+        for a, b in dict.fromkeys(inner):
+            if got := inside if (a, b) == (m.start(), m.end()) else _base64(text[a:b], budget):
+                yield placed(got[0], a, b)
 
 
 def _may_hide(text: str) -> bool:

@@ -120,3 +120,39 @@ def test_long_text():
     text = " ".join(r.choice(["thing", "token: abcdef", "%41", "QUJDREVGR0hJSktMTU5PUA=="]) for _ in range(20_000))
     base, every, _, _ = S.scan(text)
     assert base == brute(text) and set(base) <= set(every)
+
+
+def lines(t, width, end="\n"):
+    return end.join(t[i : i + width] for i in range(0, len(t), width))
+
+
+NOISE = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600))
+LONG = NOISE + " " + PLAIN + " " + NOISE
+FORMS = {
+    "base64 at 76": lines(base64.b64encode(LONG.encode()).decode(), 76),
+    "base64 at 64, CRLF": lines(base64.b64encode(LONG.encode()).decode(), 64, "\r\n"),
+    "base64 at 64 in a string": lines(base64.b64encode(LONG.encode()).decode(), 64, "\\n"),
+    "indented": lines(base64.b64encode(LONG.encode()).decode(), 64, "\n    "),
+    "gzip at 76": lines(base64.b64encode(gzip.compress(LONG.encode())).decode(), 76),
+    "xz at 64 after another line": "anotherlineofcharacters\n" + lines(base64.b64encode(lzma.compress(LONG.encode())).decode(), 64),
+    "gzip members": base64.b64encode(gzip.compress(b"first") + gzip.compress(PLAIN.encode())).decode(),
+    "bzip2 members": base64.b64encode(bz2.compress(b"first") + bz2.compress(PLAIN.encode())).decode(),
+    "xz members": base64.b64encode(lzma.compress(b"first") + lzma.compress(PLAIN.encode())).decode(),
+    "zstandard frames": base64.b64encode(zstandard.compress(b"first") + zstandard.compress(PLAIN.encode())).decode(),
+    "control character": base64.b64encode(b"\x00\x01" + PLAIN.encode()).decode(),
+    "UTF-16": base64.b64encode(PLAIN.encode("utf-16")).decode(),
+    "UTF-16 BE": base64.b64encode(PLAIN.encode("utf-16-be")).decode(),
+    "Latin-1": base64.b64encode(("é " + PLAIN).encode("latin-1")).decode(),
+    "Latin-1 in gzip": base64.b64encode(gzip.compress(("é " + PLAIN).encode("latin-1"))).decode(),
+    "percent Latin-1": "%E9" + "".join(f"%{b:02X}" for b in PLAIN.encode()),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_other_forms(name):
+    text = f"é {FORMS[name]}\nThe tail"
+    base, every, layers, closed = S.scan(text)
+    assert base == brute(text) and layers >= 1 and closed == 0
+    assert {k for _, k, _ in every} == {0, 1, 2}
+    cleaned = S.without(text, every)
+    assert not S.scan(cleaned)[1] and cleaned.startswith("é ") and cleaned.endswith(" tail")
