@@ -251,6 +251,11 @@ def _(spark, sf_dir):
     return terms.postings(documents(spark, sf_dir), SCHEMA, only=["text"]).where(F.col("term").startswith("the"))
 
 
+@register("postings_all_terms", f"SELECT 'text' AS field, term, doc_id AS id, count(*) AS freq, list(place ORDER BY place)::BIGINT[] AS positions FROM (SELECT doc_id, unnest(toks) AS term, unnest(range(len(toks))) AS place FROM {D}) GROUP BY term, doc_id")
+def _(spark, sf_dir):
+    return terms.postings(documents(spark, sf_dir), SCHEMA, only=["text"])
+
+
 @register("dv_cardinality", f"SELECT count(quality) AS quality, count(n_chars) AS n_chars, count(lang) AS lang FROM {D}")
 def _(spark, sf_dir):
     return with_quality(spark, sf_dir).agg(*(F.count(c).alias(c) for c in ("quality", "n_chars", "lang")))
