@@ -1,9 +1,12 @@
 """Toxicity: character n-gram linear classifier with naive Bayes log-count ratios.
 
-A document is the set of its hashed character n-grams (lower-cased, three and
-four characters, of the whole text). Each feature is scaled by the log ratio of
+A document is the set of its hashed character n-grams (lower-cased, four to six
+characters, of the whole text). Each feature is scaled by the log ratio of
 its smoothed document counts in toxic and other texts; a logistic regression on
-the scaled features gives the score. Features are made on the executors,
+the scaled features gives the score. The selection of features is one-sided: only
+n-grams with a log ratio of MIN_RATIO or more, which point to toxicity, have a
+weight; those that point away have none, and the bias alone speaks against it.
+Features are made on the executors,
 training runs on the driver over a bounded sample.
 
 Defined cases: a null text counts as empty; an empty text scores by the bias
