@@ -14,9 +14,10 @@ its characters to the original ones: escapes exactly, the content of an encoded
 run to the whole run. Spans are in code points, end exclusive, of the text as
 stored.
 
-Bounded memory: all compressed layers of one document expand to at most
-MAX_EXPANDED bytes together; one that would exceed it stays closed and is
-counted in n_unopened. Everything else is followed to the fixpoint.
+Bounded memory: each compressed layer expands to at most MAX_EXPANDED bytes; one
+that would exceed it stays closed, is counted in n_unopened and replaced whole by
+redact. Layers are followed depth first, so that only those of one chain are held.
+Everything else is followed to the fixpoint.
 
 Defined cases: a null text counts as empty; a text without secrets has an empty
 span list (and the digest of the empty string); repeated rows are scanned row
@@ -33,7 +34,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,7 +89,7 @@ class Layer:
 
     def key(self) -> tuple:
         n = len(self.text)
-        return (self.text, int(self.starts[0]), int(self.ends[-1])) if n else ("", 0, 0)
+        return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(self.starts[0]), int(self.ends[-1])) if n else (b"", 0, 0)
 
 
 def _percent(run: str) -> list[tuple[str, int, int]]:
@@ -133,10 +133,13 @@ def _unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 class Budget:
-    """Bytes that a document's compressed layers may still expand to."""
+    """What has been tried in a document: runs by digest and place, and the places of layers that stay closed."""
 
     def __init__(self, left: int) -> None:
-        self.left, self.unopened = left, 0
+        self.left = left
+        self.tried: dict[tuple, bool | None] = {}
+        self.closed: dict[tuple[int, bytes], int] = {}
+        self.too_large: bytes | None = None
 
 
 def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
@@ -158,7 +161,7 @@ def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
 
 def _expand(data: bytes, budget: Budget) -> bytes | None:
     """All members of a compressed layer opened; None if the bytes aren't one or it is too large."""
-    out, size = [], 0
+    out, size, start = [], 0, data[:64]
     while data:
         try:
             got = _member(data, budget.left - size + 1)
@@ -169,12 +172,11 @@ def _expand(data: bytes, budget: Budget) -> bytes | None:
         out.append(got[0])
         size += len(got[0])
         if size > budget.left:
-            budget.unopened += 1
+            budget.too_large = start
             return None
         data = got[1].lstrip(b"\0")  # padding between members
     if not out:
         return None
-    budget.left -= size
     return b"".join(out)
 
 
@@ -245,30 +247,42 @@ def children(layer: Layer, budget: Budget) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (got := _unescape(layer, _UNICODE, _unicode)):
         yield got
 
-    def placed(got: str, a: int, b: int) -> Layer:
-        return Layer(got, np.full(len(got), layer.starts[a]), np.full(len(got), layer.ends[b - 1]))
+    def opened(run: str, a: int, b: int) -> tuple[Layer | None, bool | None]:
+        """The layer in a run unless it was met before, and whether it is plain text; None if there is none."""
+        start, end = int(layer.starts[a]), int(layer.ends[b - 1])
+        key = (hashlib.blake2b(run.encode(), digest_size=16).digest(), start, end)
+        if key in budget.tried:
+            return None, budget.tried[key]
+        budget.too_large = None
+        got = _base64(run, budget)
+        if budget.too_large is not None:
+            at = (start, budget.too_large)
+            budget.closed[at] = max(end, budget.closed.get(at, 0))
+        budget.tried[key] = got[1] if got else None
+        return (Layer(got[0], np.broadcast_to(np.int64(start), len(got[0])), np.broadcast_to(np.int64(end), len(got[0]))) if got else None), budget.tried[key]
 
     done = []
     for tries in _wrapped(text):
         for lines in tries:
-            if got := _base64("".join(text[a:b] for a, b in lines), budget):
-                yield placed(got[0], lines[0][0], lines[-1][1])
-                if got[1]:
-                    done.append((lines[0][0], lines[-1][1]))
-                    break
+            got, plain = opened("".join(text[a:b] for a, b in lines), lines[0][0], lines[-1][1])
+            if got:
+                yield got
+            if plain:
+                done.append((lines[0][0], lines[-1][1]))
+                break
     done.reverse()
     for m in _RUN.finditer(text):
         while done and done[-1][1] <= m.start():
             done.pop()
         if done and done[-1][0] <= m.start() and m.end() <= done[-1][1]:
             continue  # a line of what is open already
-        inner = [(m.start(), m.end())]
-        inside = _base64(m[0], budget)
-        if (inside is None or not inside[1]) and not m[0].rstrip("=").isalnum():
-            inner += [(m.start() + p.start(), m.start() + p.end()) for p in _PIECES.finditer(m[0])]
-        for a, b in dict.fromkeys(inner):
-            if got := inside if (a, b) == (m.start(), m.end()) else _base64(text[a:b], budget):
-                yield placed(got[0], a, b)
+        got, plain = opened(m[0], m.start(), m.end())
+        if got:
+            yield got
+        if not plain and not m[0].rstrip("=").isalnum():
+            for p in _PIECES.finditer(m[0]):
+                if got := opened(p[0], m.start() + p.start(), m.start() + p.end())[0]:
+                    yield got
 
 
 def _may_hide(text: str) -> bool:
@@ -277,23 +291,31 @@ def _may_hide(text: str) -> bool:
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, the number of layers met below the text, and of compressed ones left closed."""
+    base, every, layers, closed = _scan(text)
+    return base, every, layers, len(closed)
+
+
+def _scan(text: str | None) -> tuple[list[Span], list[Span], int, list[tuple[int, int]]]:
+    """As scan, with the places of the closed layers."""
     text = text or ""
     base = base_spans(text)
     if not _may_hide(text):
-        return base, base, 0, 0
+        return base, base, 0, []
     found, budget, layers = set(base), Budget(MAX_EXPANDED), 0
     at = np.arange(len(text))
     root = Layer(text, at, at + 1)
-    seen, work = {root.key()}, deque([root])
+    seen, work = {root.key()}, [children(root, budget)]
     while work:
-        for child in children(work.popleft(), budget):
-            if (key := child.key()) in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            found.update((int(child.starts[s]), k, int(child.ends[e - 1])) for s, k, e in base_spans(child.text))
-            work.append(child)
-    return base, sorted(found), layers, budget.unopened
+        if (child := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (key := child.key()) in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        found.update((int(child.starts[s]), k, int(child.ends[e - 1])) for s, k, e in base_spans(child.text))
+        work.append(children(child, budget))
+    return base, sorted(found), layers, [(a, b) for (a, _), b in budget.closed.items()]
 
 
 def without(text: str | None, spans: list[Span], mark: str = MARK) -> str | None:
@@ -328,12 +350,16 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
-    """The documents with every secret of the text, encoded or not, replaced by a mark."""
+    """The documents with every secret of the text, encoded or not, and every layer left closed replaced by a mark."""
     C.ready(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([without(t, scan(t)[1], mark) for t in texts], dtype=object)
+            rows = []
+            for t in texts:
+                _, every, _, closed = _scan(t)
+                rows.append(without(t, [*every, *((a, 0, b) for a, b in closed)], mark))
+            yield pd.Series(rows, dtype=object)
 
     return docs.withColumn(text_col, cleaned(F.col(text_col)))

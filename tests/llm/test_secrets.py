@@ -156,3 +156,19 @@ def test_other_forms(name):
     assert {k for _, k, _ in every} == {0, 1, 2}
     cleaned = S.without(text, every)
     assert not S.scan(cleaned)[1] and cleaned.startswith("é ") and cleaned.endswith(" tail")
+
+
+def test_bound_is_for_each_layer(monkeypatch):
+    monkeypatch.setattr(S, "MAX_EXPANDED", 1000)
+    one = base64.b64encode(zlib.compress(b"x" * 900 + b" password=abcdef")).decode()
+    two = base64.b64encode(zlib.compress(b"y" * 900 + b" token=abcdef")).decode()
+    _, every, _, closed = S.scan(f"%41 \\u0041 {one} {two}")
+    assert closed == 0 and len(every) == 2
+
+
+def test_closed_layers_are_not_passed_as_clean(spark):
+    from small_docs import STRUCT, row
+
+    bomb = base64.b64encode(zlib.compress(b"password=abcdef " + bytes(S.MAX_EXPANDED))).decode()
+    got = S.redact(spark.createDataFrame([row(1, f"a {bomb} b")], STRUCT)).collect()
+    assert [r.text for r in got] == [f"a {S.MARK} b"]
