@@ -13,8 +13,9 @@ Pieces are written to the shared folder before leftovers are merged, so both
 come from one and the same attempt of every task.
 
 Ids are those of the tokenizers library without added special tokens; the same
-vocabulary is read by tiktoken where a text holds no special token's string,
-which gives the same ids several times faster.
+vocabulary is read by tiktoken, which gives the same ids several times faster,
+where a text holds no special token's string and no run of white space of
+LONG_RUN or more characters, on whose length tiktoken's pattern search recurses.
 
 Defined cases: a null text counts as empty and gives the end id alone; a null
 id is kept; repeated rows are documents of their own; an empty table gives no
@@ -25,6 +26,7 @@ play no part, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,9 +44,11 @@ WINDOW = 1024
 OPEN = 32
 GROUP = 32
 END_ID = 0
+LONG_RUN = 10_000
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, ids binary"
 _MERGED = 1 << 62
+_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def vocabulary() -> str:
@@ -72,7 +76,7 @@ def encoder(path: str):
         fast = None
 
     def encode(text: str) -> list[int]:
-        if fast is None or any(s in text for s in special):
+        if fast is None or any(s in text for s in special) or len(text) >= LONG_RUN and _RUN.search(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

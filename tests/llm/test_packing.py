@@ -67,6 +67,17 @@ def test_one_small_document(spark, tokenizer):
     check(rows, K.pack(spark.createDataFrame(rows, STRUCT), with_ids=True).collect(), tokenizer)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\r\n", "\u00a0", " \t", "a", "7", "!", "\u4e2d"])
+def test_runs_of_any_length(tokenizer, run):
+    text = "before " + run * (1_200_000 // len(run)) + "after it"
+    assert K.encoder(K.vocabulary())(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_of_long_runs(spark, tokenizer):
+    rows = [row(1, " " * 1_000_000), row(2, "\n" * 1_500_000 + "x"), row(3, "a few words")]
+    check(rows, K.pack(spark.createDataFrame(rows, STRUCT), with_ids=True).collect(), tokenizer)
+
+
 def test_open_windows_are_bounded():
     r = random.Random(0)
     packer, total = K.Packer(0, False), 0
