@@ -1,27 +1,46 @@
-"""Sends this package to the executors, which may not have it installed."""
+"""What executors need: this package, which they may not have installed, and a folder that they share with the driver."""
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows of one Arrow batch; with texts of some KB a batch stays at a few MB, with very long ones below some hundred.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch, whichever ends first; a single longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 _sent: set[str] = set()
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship, and keep Arrow batches small unless the session asks for smaller ones already."""
+    """Ship, and keep the session's Arrow batches small unless it asks for smaller ones already.
+
+    Spark reads these settings when a query runs, so they can't be put back here.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        told = spark.conf.get(key).rstrip("b")
+        if not told.isdigit() or not 0 < int(told) <= most:
+            spark.conf.set(key, str(most))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and everything runs on this machine, a new folder. On a cluster it has to be set."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{made}")
+        told = spark.sparkContext.getCheckpointDir()
+    return told.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import hll, labels
+from brindle.functions.shipping import shared_dir
 from brindle.operators import metrics, terms
 from brindle.operators.search import Searcher
 from brindle.plans import dsl
@@ -337,16 +338,7 @@ def _(spark, sf_dir):
 # --- store ---
 def _folder(spark, name: str) -> str:
     """A new folder that driver and executors share."""
-    import atexit
-    import shutil
-    import tempfile
-
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
-        told = f"file://{(made := tempfile.mkdtemp(prefix='brindle-'))}"
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(told)
-    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("index_sorted_ids", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) - 1 AS sorted_doc_id FROM documents")
