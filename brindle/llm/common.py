@@ -7,41 +7,22 @@ parameters, staged tables live in the folder that all executors share.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.shipping import ship
+from brindle.functions.shipping import ready, shared_dir  # noqa: F401
 
-#: Rows of one Arrow batch; with texts of some KB a batch stays at a few MB, with very long ones below some hundred.
-ARROW_ROWS = 512
 #: Words, everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def ready(spark: SparkSession) -> None:
-    """Send this package to the executors, and keep Arrow batches small unless the session asks for smaller ones already."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
-        told = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.sparkContext.setCheckpointDir(told)
-        told = spark.sparkContext.getCheckpointDir()
-    return told.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -60,16 +41,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         else:
             spark.conf.set(key, was)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at its end, but those given to the function that it yields.
+
+    Only for work whose results are written or collected inside: others would read what is gone.
+    """
+    before, kept = len(_staged), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    yield keep
+    inside = _staged[before:]
+    _staged[before:] = [x for x in inside if x[1] in kept]
+    for spark, path in inside:
+        if path not in kept:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
-def _sweep() -> None:
-    for spark, path in _staged:
+def sweep() -> None:
+    """Delete all staged tables; a long session may call it when it has used its results."""
+    while _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_staged.pop())
         except Exception:  # the JVM may be gone already
             return
 
