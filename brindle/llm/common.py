@@ -86,20 +86,21 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor))
 
 
-def class_sample(rows: DataFrame, key: str, label: str, per_class: int, max_classes: int, seed: int) -> DataFrame:
-    """About per_class rows of each label value, chosen by a hash of the key.
+def class_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int, most: int = 1 << 62) -> tuple[DataFrame, int]:
+    """About per_class rows of each label value, chosen by a hash of the key, and at most how many there may be.
 
-    rows: key and label columns, null in neither. Of more than max_classes
-    label values the most frequent are used. The counts are over all rows;
+    rows: key and label columns, null in neither. With very many labels fewer
+    rows of each are chosen, for the sample to stay at about `most` rows; none
+    is left out. The counts are over all rows, a row a label is collected;
     choosing needs no shuffle and gives the same rows on every run.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    counts = rows.groupBy(label).count().collect()
+    per_class = max(16, min(per_class, most // max(1, len(counts))))  # of so many a hash hardly leaves out all
     space = 1 << 30
+    limits = [x for value, n in counts for x in (F.lit(value), F.lit(min(space, int(space * per_class / n) + 1)))]
     spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(space))
-    chosen = F.lit(False)
-    for value, n in counts:
-        chosen = chosen | ((F.col(label) == F.lit(value)) & (spot < F.lit(min(space, int(space * per_class / n) + 1))))
-    return rows.where(chosen)
+    chosen = rows.where(spot < F.try_element_at(F.create_map(*limits), F.col(label))) if limits else rows.where(F.lit(False))
+    return chosen, 4 * per_class * max(1, len(counts))
 
 
 def text_chunks(text: str, size: int, overlap: int):

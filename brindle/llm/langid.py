@@ -34,8 +34,8 @@ FILTERS = 8
 #: At most about so many texts of each language are learned from, and so many windows of each.
 PER_CLASS = 400
 WINDOWS_PER_TEXT = 8
-#: At most so many languages, the most frequent ones.
-MAX_LANGUAGES = 256
+#: The whole sample has about so many texts at most; with more than MOST_TEXTS / PER_CLASS languages each has fewer.
+MOST_TEXTS = 100_000
 _BLOCK = 1024
 
 
@@ -173,14 +173,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     known = known.where("id is not null and label is not null and text is not null").where(C.remainder("id", held[0]) != held[1])
     C.ready(docs.sparkSession)
-    few = C.class_sample(known, "id", "label", per_class, MAX_LANGUAGES, 1).groupBy("id").agg(F.min(F.struct("label", "text")).alias("x")).select("id", "x.*")
+    few, most = C.class_sample(known, "id", "label", per_class, 1, MOST_TEXTS)
+    few = few.groupBy("id").agg(F.min(F.struct("label", "text")).alias("x")).select("id", "x.*")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [windows(t, WINDOWS_PER_TEXT) for t in b.text]
             yield pd.DataFrame({"id": b.id, "label": b.label, "codes": [g.tobytes() for g in got]})
 
-    got = few.mapInPandas(cut, "id long, label string, codes binary").limit(4 * per_class * MAX_LANGUAGES).toPandas().sort_values("id")
+    got = few.mapInPandas(cut, "id long, label string, codes binary").limit(most).toPandas().sort_values("id")
     if not len(got):
         return None
     languages = sorted(got.label.unique())

@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings with a softmax output.
 
-Each word and each character n-gram of a word (three to five characters, the
-word in boundary marks), and the bigram of a word with itself, has a learned vector, found by hashing. A document is
+Each word, each pair of words that follow each other, and each character n-gram
+of a word (three to five characters, the word in boundary marks) has a learned
+vector, found by hashing. A document is
 the average of the vectors of its whole text, with counts; a softmax over two
 outputs gives the score. Vectors and outputs are trained together by stochastic
 gradient descent in numpy, one document a step, on a bounded sample of the
@@ -34,46 +35,60 @@ GRAMS = (3, 4, 5)
 #: At most about so many labelled texts of each class are learned from.
 PER_CLASS = 1500
 THRESHOLD = 0.3
-#: The slot of a word bigram whose two words are equal, whichever word it is.
-AGAIN = 1
 _CHUNK = 1 << 18
-_WHITE = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], np.uint32)
+_FIRST, _TIMES, _PAIR = 0x811C9DC5, 0x01000193, np.uint32(0x9E3779B1)
 
 
 def subwords(text: str | None) -> Iterator[np.ndarray]:
-    """Hashed ids of the words and their n-grams, chunk by chunk of the whole text."""
+    """Hashed ids of the words, their n-grams and their pairs, chunk by chunk of the whole text; a word may span chunks."""
     text = text or ""
-    at, last = 0, None
-    while at < len(text):
-        end = min(len(text), at + _CHUNK)
-        if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut + 1 if cut > at else end
-        codes = np.concatenate(([0x20], C.code_points(text[at:end]), [0x20])).astype(np.uint32)
-        white = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
-        codes = np.where(white, np.uint32(0x20), codes)
+    before = np.array([0x20], np.uint32)
+    length, begun, last = 0, 0, None  # of the word that the chunk before ended in; the last whole word
+    for at in range(0, len(text) + 1, _CHUNK):
+        codes = C.code_points(text[at : at + _CHUNK])
+        if at + _CHUNK > len(text):
+            codes = np.append(codes, np.uint32(0x20))
+        codes = np.where((codes >= 0x09) & (codes <= 0x0D), np.uint32(0x20), codes)
+        both = np.concatenate((before, codes))
+        white = both == 0x20
         for n in GRAMS:
-            ids = C.gram_ids(codes, n, BITS)
+            skip = max(0, len(before) - n + 1)
+            ids = C.gram_ids(both[skip:], n, BITS)
+            w = white[skip:]
             inner = np.zeros(len(ids), bool)
             for k in range(1, n - 1):
-                inner |= white[k : k + len(ids)]
-            both = white[: len(ids)] & white[n - 1 :]  # a whole word in its marks; words have ids of their own
-            yield ids[~(inner | both)]
-        turn = np.flatnonzero(white[1:] != white[:-1]) + 1
-        starts, ends = turn[::2], turn[1::2]
-        if len(starts):
-            place = np.arange(len(codes)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(codes)]))))
-            h = np.add.reduceat((codes + np.uint32(7)) * _powers(int(place.max()) + 1)[place] * ~white, starts, dtype=np.uint32)
-            yield C.spread(h, BITS)
-            again = int((h[1:] == h[:-1]).sum()) + int(last == h[0])
-            last = h[-1]
-            yield np.full(again, AGAIN, np.int32)
-        at = end
+                inner |= w[k : k + len(ids)]
+            marks = w[: len(ids)] & w[n - 1 :]  # a whole word in its marks; words have ids of their own
+            yield ids[~(inner | marks)]
+        before, letter = both[1 - max(GRAMS) :], ~white[len(before) :]
+        words, (length, begun) = _words(codes, letter, length, begun)
+        yield C.spread(words, BITS)
+        if last is not None:
+            words = np.concatenate((last, words))
+        if len(words) > 1:
+            yield C.spread(words[:-1] * _PAIR ^ words[1:], BITS)
+        last = words[-1:] if len(words) else last
+
+
+def _words(codes: np.ndarray, letter: np.ndarray, length: int, begun: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """Hashes of the words that end in a chunk, and the length and hash of one that doesn't. length, begun: of one that began before."""
+    starts = np.flatnonzero(letter & ~np.concatenate(([length > 0], letter[:-1])))
+    if length:
+        starts = np.concatenate(([0], starts))
+    if not len(starts):
+        return np.zeros(0, np.uint32), (0, 0)
+    place = np.arange(len(codes)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(codes)]))))
+    h = np.add.reduceat((codes + np.uint32(7)) * _powers(int(place[letter].max(initial=0)) + 1)[np.where(letter, place, 0)] * letter, starts, dtype=np.uint32)
+    if length:
+        h[0] = (begun + int(h[0]) * pow(_TIMES, length, 1 << 32)) & 0xFFFFFFFF
+    if not letter[-1]:
+        return h, (0, 0)
+    return h[:-1], (len(codes) - int(starts[-1]) + (length if length and len(starts) == 1 else 0), int(h[-1]))
 
 
 def _powers(n: int) -> np.ndarray:
-    p = np.full(n, 0x01000193, np.uint32)
-    p[0] = 0x811C9DC5
+    p = np.full(n, _TIMES, np.uint32)
+    p[0] = _FIRST
     return np.multiply.accumulate(p, dtype=np.uint32)
 
 
@@ -139,7 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if held:
         known = known.where(C.remainder("id", held[0]) != held[1])
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    chosen = C.class_sample(known, "id", "label", per_class, 2, 8).limit(4 * per_class).toPandas()
+    chosen, most = C.class_sample(known, "id", "label", per_class, 8)
+    chosen = chosen.limit(most).toPandas()
     if chosen.label.nunique() < 2:
         return train([], np.zeros(0, np.int64))
     spark = docs.sparkSession

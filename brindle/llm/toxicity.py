@@ -3,9 +3,10 @@
 A document is the set of its hashed character n-grams (lower-cased, four to six
 characters, of the whole text). Each feature is scaled by the log ratio of
 its smoothed document counts in toxic and other texts; a logistic regression on
-the scaled features gives the score. The selection of features is one-sided: only
-n-grams with a log ratio of MIN_RATIO or more, which point to toxicity, have a
-weight; those that point away have none, and the bias alone speaks against it.
+the scaled features gives the score. N-grams of both signs have weights, as far as
+their log ratio is MIN_ERRORS standard errors or more from zero: in a long text
+the many others, whose ratios are chance, would outvote the few that count. Most
+n-grams that pass point to toxicity, since other texts have no words of their own.
 Features are made on the executors,
 training runs on the driver over a bounded sample.
 
@@ -33,8 +34,8 @@ GRAMS = (4, 5, 6)
 #: At most about so many labelled texts of each class are learned from.
 PER_CLASS = 1000
 THRESHOLD = 0.7
-#: N-grams in fewer texts of the sample, or with a lesser log ratio, get no weight: clean n-grams of a long text outvote nothing.
-MIN_TEXTS, MIN_RATIO = 5, 0.7
+#: N-grams in fewer texts of the sample, or whose log ratio is nearer to zero, get no weight.
+MIN_TEXTS, MIN_ERRORS = 5, 2.0
 _CHUNK = 1 << 20
 _PART = 128
 
@@ -70,7 +71,7 @@ def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty:
     for ids, label in zip(sets, labels, strict=True):
         (toxic if label else other)[ids] += 1
     ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2))
-    met = np.flatnonzero((toxic + other >= MIN_TEXTS + 2) & (ratio >= MIN_RATIO))
+    met = np.flatnonzero((toxic + other >= MIN_TEXTS + 2) & (np.abs(ratio) >= MIN_ERRORS * np.sqrt(1 / toxic + 1 / other)))
     ratio = ratio[met]
     local = np.full(1 << BITS, len(met), np.int32)  # the last slot is for all others and stays 0
     local[met] = np.arange(len(met), dtype=np.int32)
@@ -112,7 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if held:
         known = known.where(C.remainder("id", held[0]) != held[1])
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    chosen = C.class_sample(known, "id", "label", per_class, 2, 10).limit(4 * per_class).toPandas()
+    chosen, most = C.class_sample(known, "id", "label", per_class, 10)
+    chosen = chosen.limit(most).toPandas()
     if chosen.label.nunique() < 2:
         return train([], np.zeros(0))
     spark = docs.sparkSession

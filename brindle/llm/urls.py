@@ -116,7 +116,7 @@ class Trees:
 
 def learn(labelled: DataFrame, per_class: int = PER_CLASS) -> Trees:
     """labelled: id, url, host, path and label (1 to block)."""
-    sample = C.staged(lexical(C.class_sample(labelled, "id", "label", per_class, 2, 7)).drop("id", "url", "host", "path"), "urls")
+    sample = C.staged(lexical(C.class_sample(labelled, "id", "label", per_class, 7)[0]).drop("id", "url", "host", "path"), "urls")
     counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Trees({}, [], -1.0)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from small_docs import row, sentence
 
+from brindle.llm import common as C
 from brindle.llm import langid, quality, toxicity
 
 LABELS = "doc_id long, quality int, toxic int, score double"
@@ -80,6 +84,108 @@ def test_toxic_documents_go_and_columns_stay(spark, labelled, no_docs):
     assert toxicity.drop_toxic(no_docs, labels).count() == 0
 
 
+def spread(h, bits):
+    h ^= h >> 15
+    h = h * 0x2C1B3C6D % (1 << 32)
+    h ^= h >> 12
+    return (h * 0x297A2D39 % (1 << 32)) >> (32 - bits)
+
+
+def gram(chars, bits):
+    h = 0x9E3779B1 * len(chars) % (1 << 32)
+    for c in chars:
+        h = h * 0x01000193 % (1 << 32) ^ ord(c)
+    return spread(h, bits)
+
+
+def plain_subwords(text):
+    out, last = [], None
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        marked = f" {word} "
+        for n in quality.GRAMS:
+            out += [gram(marked[i : i + n], quality.BITS) for i in range(len(marked) - n + 1) if n != len(marked)]
+        h = sum((ord(c) + 7) * 0x811C9DC5 * pow(0x01000193, k, 1 << 32) for k, c in enumerate(word)) % (1 << 32)
+        out.append(spread(h, quality.BITS))
+        if last is not None:
+            out.append(spread(last * 0x9E3779B1 % (1 << 32) ^ h, quality.BITS))
+        last = h
+    return Counter(out)
+
+
+ODD = ["", " ", "a", " a", "a ", "ab\x0bab  ab", "x" * 40 + " y", "é😀 \x1cx y", "word word\nword\tother", "a b c d e f g"]
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 1, 2, 7])
+def test_subwords_by_a_plain_reading(monkeypatch, chunk):
+    monkeypatch.setattr(quality, "_CHUNK", chunk)
+    for text in [*ODD, None, sentence(random.Random(7), "de", 60)]:
+        ids, n = quality.counts(text)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == dict(plain_subwords(text)), text
+
+
+def test_quality_scores_by_a_plain_reading(labelled):
+    docs, labels, _ = labelled
+    slots, bias = quality.learn(docs, labels)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        bag = plain_subwords(r.text)
+        mean = sum(float(slots[i]) * n for i, n in bag.items()) / sum(bag.values())
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-mean - bias)), abs=1e-5)
+    assert np.count_nonzero(slots) > 100
+
+
+def test_toxicity_scores_by_a_plain_reading(labelled):
+    docs, labels, _ = labelled
+    weights, bias = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        text = f" {r.text.lower()} "
+        grams = {gram(text[i : i + n], toxicity.BITS) for n in toxicity.GRAMS for i in range(len(text) - n + 1)}
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-sum(float(weights[g]) for g in grams) - bias)), abs=1e-5)
+
+
+def test_ratios_of_both_signs_have_weights():
+    r = random.Random(5)
+    texts = [sentence(r, "fr", 40) + " rudeword" for _ in range(60)] + [sentence(r, "fr", 40) + " politely" for _ in range(60)]
+    sets, y = list(toxicity.all_features(texts)), np.array([1] * 60 + [0] * 60)
+    weights, _ = toxicity.train(sets, y)
+    toxic, other = (np.bincount(np.concatenate(sets[a : a + 60]), minlength=1 << toxicity.BITS) + 1 for a in (0, 60))
+    ratio = np.log(toxic / 62) - np.log(other / 62)
+    sure = (toxic + other >= 7) & (np.abs(ratio) >= 2 * np.sqrt(1 / toxic + 1 / other))
+    assert (weights[~sure] == 0).all() and (weights > 0).any() and (weights < 0).any()
+    assert weights[gram("rudew", toxicity.BITS)] > 0 > weights[gram("polit", toxicity.BITS)]
+
+
+def test_languages_by_a_plain_reading(docs, corpus):
+    net = langid.learn(docs)
+    texts = [x[1] for x in corpus[:25]] + ["x", "é" * 100, "Ab 12 " * 40]
+    got = langid.predict(texts, net)
+    size = langid.FILTERS
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        raw += b" " * (-len(raw) % langid.WINDOW)
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(raw), langid.WINDOW):
+            codes = [int(langid.CLASS[b]) for b in raw[at : at + langid.WINDOW]]
+            hidden = []
+            for w, filters in zip(langid.WIDTHS, net.filters, strict=True):
+                for f in range(size):
+                    hidden.append(max(sum(float(filters[j][codes[p + j]][f]) for j in range(w)) for p in range(langid.WINDOW - 3)))
+            z = np.maximum(np.array(hidden) + net.offsets, 0) @ net.out + net.bias
+            e = np.exp(z - z.max())
+            total += e / e.sum()
+        total /= len(raw) // langid.WINDOW
+        assert got[0][k] == net.languages[int(total.argmax())] and got[1][k] == pytest.approx(total.max(), abs=1e-4)
+
+
+def test_no_language_is_too_rare(spark):
+    rows = [row(i, f"{'abcdefghij'[i % 10] * 4} {'klmnopqrst'[i // 10 % 10] * 4} " * 8, f"l{i % 300:03d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, label int, rk long, size long, id long")
+    assert len(langid.learn(df, per_class=2).languages) == 300
+    many, most = C.class_sample(df.select("doc_id", "lang"), "doc_id", "lang", 400, 1, most=600)
+    assert many.select("lang").distinct().count() == 300 and most == 4 * 16 * 300
+
+
 def test_chunks_change_nothing(monkeypatch):
     text = sentence(random.Random(3), "fr", 3000)
     whole = set(next(toxicity.all_features([text])).tolist())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -52,6 +53,46 @@ def test_trees_learn_lexical_differences(spark):
     assert "Python" not in model.with_statistics(U.lexical(df)).select(model.score())._jdf.queryExecution().toString()
 
 
+def plain_features(url):
+    url = url or ""
+    host, path, _ = brute(url)
+    query = re.search(r"\?([^#]*)", url)
+    n = len(url)
+    shares = [url.count(c) / n for c in set(url)]
+    return {
+        "url_length": n, "host_length": len(host), "path_length": len(path), "host_depth": host.count("."), "path_depth": path.count("/"),
+        "digit_ratio": sum(c in "0123456789" for c in url) / n if n else 0, "entropy": -sum(p * math.log2(p) for p in shares), "parameters": query[1].count("&") + 1 if query and query[1] else 0, "fragment": float("#" in url),
+        "host_suffix": host.rsplit(".", 1)[-1], "path_suffix": (re.search(r"\.([A-Za-z0-9]+)$", path) or ["", ""])[1], "path_start": (re.search(r"^/([^/]*)/", path) or ["", ""])[1],
+    }
+
+
+def plain_score(model, url):
+    x = plain_features(url)
+    for name, (known, rest) in model.statistics.items():
+        x[name] = known.get(x[name], rest)
+
+    def leaf(node):
+        return node if isinstance(node, float) else leaf(node[2] if x[node[0]] <= node[1] else node[3])
+
+    return model.bias + sum(map(leaf, model.trees))
+
+
+def test_scores_by_a_plain_reading(spark):
+    rows = [(i, f"http://h{i % 9}.a{i % 4}.{'net' if i % 3 else 'org'}/{'fr/' if i % 2 else ''}{'p/' * (i % 5)}{i * 7919 % 1000}{['', '.html', '.pdf'][i % 3]}{'?a=1&b=2' if i % 7 == 0 else ''}", None, None, 0.0, 0) for i in range(600)]
+    rows += [(1000 + i, u, None, None, 0.0, 0) for i, u in enumerate(URLS) if u is None or "\n" not in u]
+    df = spark.createDataFrame(rows, PAGES)
+    labels = {r[0]: brute(r[1])[2] for r in rows}
+    said = {rule: int(verdict == "block") for verdict, rule in U.RULES}
+    told = spark.createDataFrame([(r[0], r[1], *brute(r[1])[:2], said[labels[r[0]]]) for r in rows if labels[r[0]]], "id long, url string, host string, path string, label int")
+    model = U.learn(told)
+    assert len(model.trees) == U.ROUNDS and any(not isinstance(t, float) for t in model.trees)
+    for r in U.judged(df).collect():
+        url = next(x[1] for x in rows if x[0] == r.page_id)
+        z = plain_score(model, url)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+        assert r.verdict == (("block" if said[r.rule] else "allow") if r.rule else "block" if z > 0 else "allow")
+
+
 def test_features(spark):
     df = spark.createDataFrame([("http://a.b.com/x1/y.html?p=1&q=2#f",), (None,)], "url string")
     host, path = U.parts(F.col("url"))
