@@ -310,8 +310,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     texts = texts.withColumn("other", F.concat(F.when(F.col("half") == "0", "1").otherwise("0"), "lang"))
     parts = loads(table, most)
     done = [_pass(spark, texts, load(table, part), part) for part in parts]
-    met = spark.createDataFrame([(lang,) for part in parts for lang, (_, mine) in part.items() if mine[0] == 0], "other string")
-    rest = texts.join(met, "other", "left_anti")
+    rest = texts.where(~F.col("other").isin(sorted({lang for part in parts for lang in part})))
     done.append(_pass(spark, rest, Model({}), None))
     rows = reduce(DataFrame.unionByName, done)
     whole = rows.where("pieces = 1").select("doc_id", "other", *_COUNTS, "n_grams", "total")
