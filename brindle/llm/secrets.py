@@ -5,7 +5,7 @@ non-overlapping per kind: `assign`, `access` and `hex`. Then layers are
 unwrapped: percent escapes, Unicode escapes (\uXXXX, \UXXXXXXXX, \xXX, numeric
 character references), base64 (both alphabets, also wrapped into lines of
 MIN_RUN or more characters) and what it may hold compressed (gzip, zlib, bzip2,
-xz, zstandard, all members of a sequence). Decoded bytes that aren't plain UTF-8
+xz, zstandard, all members of a sequence, and deflate without a header). Decoded bytes that aren't plain UTF-8
 are read byte for byte, once more without NULs (UTF-16 and UTF-32), and count as
 a layer if they hold a secret or something encoded. Every new layer is scanned with the same
 patterns and unwrapped again, until no layer is new; a layer met before (same
@@ -14,9 +14,16 @@ its characters to the original ones: escapes exactly, the content of an encoded
 run to the whole run. Spans are in code points, end exclusive, of the text as
 stored.
 
-Bounded memory: each compressed layer expands to at most MAX_EXPANDED bytes; one
-that would exceed it stays closed, is counted in n_unopened and replaced whole by
-redact. Layers are followed depth first, so that only those of one chain are held.
+Bounded memory: a compressed layer is read as a stream and followed in parts of
+about MAX_EXPANDED bytes that end at line ends, which no secret spans. One with a
+longer line, with more than MAX_LAYER bytes in all, or that its format can't open
+in bounded memory (xz dictionaries above 256 MiB, zstandard windows above 128 MiB)
+is left closed from there on, counted in n_unopened and replaced whole by redact.
+Layers are followed depth first, so that only those of one chain are held.
+
+Bounded work: escapes are unwrapped one level at a time, each level a layer, until
+the layers of a document together are DEEP times as long as it is. Deeper nests
+are unwrapped to the end at once, in linear time, and what results is a layer.
 Everything else is followed to the fixpoint.
 
 Defined cases: a null text counts as empty; a text without secrets has an empty
@@ -35,7 +42,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,7 +56,8 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
 HEX = re.compile(r"[0-9a-f]{24,}")
-MAX_EXPANDED = 32 << 20
+MAX_EXPANDED, MAX_LAYER = 32 << 20, 1 << 30
+DEEP = 64
 #: Shorter runs can't hold a secret of any kind.
 MIN_RUN = 16
 MARK = "[SECRET]"
@@ -79,25 +87,39 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-@dataclass
 class Layer:
-    """A text and, for each of its characters, where it comes from in the original."""
+    """A text and where its characters come from in the original: all from one place, each from its own, or, of the original, itself."""
+
+    def __init__(self, text: str, place: tuple[int, int] | None = None, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
+        self.text, self.place, self.starts, self.ends = text, place, starts, ends
+
+    def start(self, at: int) -> int:
+        return self.place[0] if self.place else at if self.starts is None else int(self.starts[at])
 
-    text: str
-    starts: np.ndarray
-    ends: np.ndarray
+    def end(self, at: int) -> int:
+        """The end of the character before the given place."""
+        return self.place[1] if self.place else at if self.ends is None else int(self.ends[at - 1])
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.starts is None:
+            n = len(self.text)
+            if self.place:
+                return np.full(n, self.place[0], np.int32), np.full(n, self.place[1], np.int32)
+            at = np.arange(n + 1, dtype=np.int32)
+            return at[:-1], at[1:]
+        return self.starts, self.ends
 
     def key(self) -> tuple:
         n = len(self.text)
-        return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(self.starts[0]), int(self.ends[-1])) if n else (b"", 0, 0)
+        return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), self.start(0), self.end(n)) if n else (b"", 0, 0)
 
 
-def _percent(run: str) -> list[tuple[str, int, int]]:
-    """Characters of an escaped run with their places in it; a byte that isn't UTF-8 is its Latin-1 character."""
+def _percent(run: str, width: int = 3) -> list[tuple[str, int, int]]:
+    """Characters of an escaped run with their places in it, `width` for a byte; a byte that isn't UTF-8 is its Latin-1 character."""
     out, at = [], 0
     for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
         lone = 0xDC80 <= ord(c) <= 0xDCFF
-        n = 3 if lone else 3 * len(c.encode("utf-8"))
+        n = width if lone else width * len(c.encode("utf-8"))
         out.append((chr(ord(c) - 0xDC00) if lone else c, at, at + n))
         at += n
     return out
@@ -116,68 +138,219 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
 
 
 def _unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """One level of escapes undone."""
     text, starts, ends, at = [], [], [], 0
+    froms = None
     for m in pattern.finditer(layer.text):
         if (chars := decode(m[0])) is None:
             continue
         text.append(layer.text[at : m.start()])
-        starts.append(layer.starts[at : m.start()])
-        ends.append(layer.ends[at : m.start()])
         text.append("".join(c for c, _, _ in chars))
-        starts.append(layer.starts[[m.start() + a for _, a, _ in chars]])
-        ends.append(layer.ends[[m.start() + b - 1 for _, _, b in chars]])
+        if not layer.place:
+            froms = froms or layer.places()
+            starts += [froms[0][at : m.start()], froms[0][[m.start() + a for _, a, _ in chars]]]
+            ends += [froms[1][at : m.start()], froms[1][[m.start() + b - 1 for _, _, b in chars]]]
         at = m.end()
     if not text:
         return None
-    return Layer("".join([*text, layer.text[at:]]), np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]]))
+    text = "".join([*text, layer.text[at:]])
+    if layer.place:
+        return Layer(text, layer.place)
+    return Layer(text, None, np.concatenate([*starts, froms[0][at:]]), np.concatenate([*ends, froms[1][at:]]))
+
+
+_TAIL = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)\Z")
+_ENDS = frozenset("0123456789abcdefABCDEF;")
+
+
+def _flattened(layer: Layer) -> Layer:
+    """All levels of escapes undone in one pass: whatever ends in an escape is replaced at once, and may end in another then.
+
+    Bytes above 127 stay bytes until the end, where those in a row are read as UTF-8.
+    """
+    froms = layer.places()
+    out, starts, ends = [], [], []
+    for c, s, e in zip(layer.text, froms[0].tolist(), froms[1].tolist(), strict=True):
+        out.append(c)
+        starts.append(s)
+        ends.append(e)
+        while out[-1] in _ENDS and (m := _TAIL.search("".join(out[-10:]))):
+            n, got = len(m[0]), m[0]
+            code = int(got[1:], 16) if got[0] == "%" else int(got[3:-1], 16) if got[:3] in ("&#x", "&#X") else int(got[2:-1]) if got[0] == "&" else int(got[2:], 16)
+            if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+                break
+            out[-n:] = [chr(code + 0xDC00) if got[0] == "%" and code > 127 else chr(code)]
+            del starts[1 - n :]
+            ends[-n:] = [ends[-1]]
+    text, starts, ends = "".join(out), np.array(starts, np.int32), np.array(ends, np.int32)
+    if re.search("[\udc80-\udcff]", text):
+        held = Layer(text, None, starts, ends)
+        return _unescape(held, re.compile("[\udc80-\udcff]+"), lambda run: _percent("".join(f"%{ord(c) - 0xDC00:02x}" for c in run), 1))
+    return Layer(text, layer.place) if layer.place else Layer(text, None, starts, ends)
 
 
 class Budget:
-    """What has been tried in a document: runs by digest and place, and the places of layers that stay closed."""
+    """What has been tried in a document: runs by digest and place; the places of layers that stay closed; the work on escapes."""
 
-    def __init__(self, left: int) -> None:
-        self.left = left
+    def __init__(self, size: int) -> None:
         self.tried: dict[tuple, bool | None] = {}
-        self.closed: dict[tuple[int, bytes], int] = {}
-        self.too_large: bytes | None = None
+        self.closed: dict[tuple[int, str], int] = {}
+        self.work, self.most = 0, DEEP * (size + 4096)
+
+
+class Closed(Exception):
+    """A compressed layer that is too large."""
+
+
+_BROKEN = (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+_STEP, _HEAD = 1 << 20, 1 << 16
+_OPEN = {"zlib": lambda: zlib.decompressobj(47), "bare": lambda: zlib.decompressobj(-15), "bz2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(memlimit=1 << 28)}
 
 
-def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
-    """The first compressed member opened, up to room bytes, and what follows it; None if there is none."""
+def _magic(data: bytes) -> str | None:
     if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        d = zlib.decompressobj(47)
-        return d.decompress(data, room), d.unused_data
-    if data[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-        return d.decompress(data, room), d.unused_data
-    if data[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor(memlimit=1 << 28)
-        return d.decompress(data, room), d.unused_data
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data, read_across_frames=True) as r:
-            return r.read(room), b""
-    return None
-
-
-def _expand(data: bytes, budget: Budget) -> bytes | None:
-    """All members of a compressed layer opened; None if the bytes aren't one or it is too large."""
-    out, size, start = [], 0, data[:64]
-    while data:
+        return "zlib"
+    return {b"BZh": "bz2", b"\xfd7z": "xz", b"\x28\xb5\x2f": "zstd"}.get(data[:3])
+
+
+class _Stream:
+    """Bytes in pieces, of which the first may be looked at."""
+
+    def __init__(self, pieces) -> None:
+        self.pieces, self.held = iter(pieces), b""
+
+    def head(self) -> bytes:
+        while len(self.held) < _HEAD and (more := next(self.pieces, None)) is not None:
+            self.held += more
+        return self.held[:_HEAD]
+
+    def __iter__(self):
+        return self
+
+    def __next__(self) -> bytes:
+        if self.held:
+            got, self.held = self.held, b""
+            return got
+        return next(self.pieces)
+
+    def read(self, n: int = -1) -> bytes:
+        """As a file has it."""
+        if not self.held:
+            self.held = next(self.pieces, b"")
+        n = len(self.held) if n < 0 else n
+        got, self.held = self.held[:n], self.held[n:]
+        return got
+
+
+def _members(source: _Stream, kind: str) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, in steps."""
+    try:
+        while kind != "zstd":
+            d, data = _OPEN[kind](), next(source, b"")
+            while not d.eof:
+                out = d.decompress(data, _STEP)
+                if out:
+                    yield out
+                if kind in ("zlib", "bare"):
+                    data = d.unconsumed_tail
+                    want = not data and len(out) < _STEP and not d.eof
+                else:
+                    data, want = b"", d.needs_input
+                if want and not (data := next(source, b"")):
+                    return  # cut short
+            source.held = d.unused_data + source.held
+            while source.head() and not source.held.strip(b"\0"):  # padding between members
+                source.held = b""
+            source.held = source.held.lstrip(b"\0")
+            if kind == "bare" or not (kind := _magic(source.head())):
+                return
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(source, read_across_frames=True) as r:
+            while out := r.read(_STEP):
+                yield out
+    except lzma.LZMAError as e:
+        if "limit" in str(e):
+            raise Closed from e
+        raise
+    except zstandard.ZstdError as e:
+        if "too much memory" in str(e):
+            raise Closed from e
+        raise
+
+
+def _decompressed(data: bytes) -> _Stream | None:
+    """The content of compressed bytes, opened again as long as it is compressed itself; None if they aren't compressed."""
+    stream, met, size = _Stream([data]), set(), 0
+
+    def counted(pieces: Iterator[bytes]) -> Iterator[bytes]:
+        nonlocal size
+        for p in pieces:
+            size += len(p)
+            if size > MAX_LAYER:
+                raise Closed
+            yield p
+
+    def recorded(pieces: _Stream, taken: list[list]) -> Iterator[bytes]:
+        for p in pieces:
+            for log in taken:
+                log.append(p)
+            yield p
+
+    opened = False
+    while kind := _magic(head := stream.head()):
+        if (told := hashlib.blake2b(head, digest_size=16).digest()) in met:
+            return _Stream(())  # a cycle: nothing new
+        met.add(told)
+        taken = [[]]
+        inner = _Stream(counted(_members(_Stream(recorded(stream, taken)), kind)))
         try:
-            got = _member(data, budget.left - size + 1)
-        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-            got = None
-        if got is None:
+            first = inner.head()
+        except _BROKEN:  # what came before the fault counts
+            first, inner.pieces = inner.held, iter(())
+        if not first:  # not compressed after all
+            stream = _Stream(chain(*taken, stream))
             break
-        out.append(got[0])
-        size += len(got[0])
-        if size > budget.left:
-            budget.too_large = start
-            return None
-        data = got[1].lstrip(b"\0")  # padding between members
-    if not out:
+        taken.clear()
+        stream, opened = inner, True
+    return stream if opened else _bare(data)
+
+
+def _bare(data: bytes) -> _Stream | None:
+    """The content of deflated bytes without a header, if they are nothing else."""
+    d, more, size = zlib.decompressobj(-15), data, 0
+    try:
+        while not d.eof and size <= MAX_LAYER:
+            out = d.decompress(more, _STEP)
+            more, size = d.unconsumed_tail, size + len(out)
+            if not out and not more:
+                break
+    except zlib.error:
         return None
-    return b"".join(out)
+    if size > MAX_LAYER:
+        raise Closed
+    return _Stream(_members(_Stream([data]), "bare")) if d.eof and not d.unused_data and size else None
+
+
+_LINE_END = re.compile(rb"[^A-Za-z0-9+/_=\s-][ \t\r]*\n")
+
+
+def _parts(stream: _Stream) -> Iterator[bytes]:
+    """The content in parts that end at line ends, preferably not between lines that may be base64."""
+    held = bytearray()
+    try:
+        for piece in stream:
+            held += piece
+            if len(held) > MAX_EXPANDED:
+                cut = held.rfind(b"\n") + 1
+                if not cut:
+                    raise Closed
+                for m in _LINE_END.finditer(held, max(0, len(held) - _STEP)):
+                    cut = m.end()
+                yield bytes(held[:cut])
+                del held[:cut]
+    except _BROKEN:  # cut short or spoilt: what came before counts
+        pass
+    if held:
+        yield bytes(held)
 
 
 def _readable(data: bytes) -> str | None:
@@ -197,25 +370,28 @@ def _hidden(data: bytes) -> str | None:
     return "\n\0\n".join(t for t in every if base_spans(t) or any(p.search(t) for p in (_PERCENT, _UNICODE, _RUN))) or None
 
 
-def _base64(run: str, budget: Budget) -> tuple[str, bool] | None:
-    """The text in a base64 run, or in what it holds compressed, and whether all of it is plain text."""
+def _contents(run: str) -> Iterator[tuple[str, bool]]:
+    """The texts in a base64 run, or in what it holds compressed, and whether they are plain text. Raises Closed where the rest stays closed."""
     body = run.rstrip("=")
     if "-" in body and ("+" in body or "/" in body):
-        return None
+        return
     whole = len(body) % 4 != 1
     body = body if whole else body[:-1]
     try:
         data = base64.b64decode((body + "=" * (-len(body) % 4)).translate(_URL_SAFE), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    met = set()
-    while not whole or (text := _readable(data)) is None:
-        if data in met or (opened := _expand(data, budget)) is None:
-            text = _hidden(data)
-            return (text, False) if text else None
-        met.add(data)
-        data, whole = opened, True
-    return (text, True) if text else None
+        return
+    if whole and (text := _readable(data)) is not None:
+        if text:
+            yield text, True
+        return
+    stream = _decompressed(data)
+    for part in [data] if stream is None else _parts(stream):
+        text = _readable(part) if stream else None
+        if text:
+            yield text, True
+        elif text is None and (text := _hidden(part)):
+            yield text, False
 
 
 _URL_SAFE = str.maketrans("-_", "+/")
@@ -242,31 +418,40 @@ def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
 
 def children(layer: Layer, budget: Budget) -> Iterator[Layer]:
     text = layer.text
-    if "%" in text and (got := _unescape(layer, _PERCENT, _percent)):
-        yield got
-    if ("\\" in text or "&#" in text) and (got := _unescape(layer, _UNICODE, _unicode)):
-        yield got
-
-    def opened(run: str, a: int, b: int) -> tuple[Layer | None, bool | None]:
-        """The layer in a run unless it was met before, and whether it is plain text; None if there is none."""
-        start, end = int(layer.starts[a]), int(layer.ends[b - 1])
-        key = (hashlib.blake2b(run.encode(), digest_size=16).digest(), start, end)
+    percent, unicode = "%" in text and _PERCENT.search(text), ("\\" in text or "&#" in text) and _UNICODE.search(text)
+    if (percent or unicode) and budget.work > budget.most:
+        yield _flattened(layer)
+    else:
+        for found, pattern, decode in ((percent, _PERCENT, _percent), (unicode, _UNICODE, _unicode)):
+            if found and (got := _unescape(layer, pattern, decode)):
+                budget.work += len(got.text)
+                yield got
+
+    def opened(run: str, a: int, b: int) -> tuple[Iterator[Layer], bool | None]:
+        """The layers in a run unless it was met before, and whether they begin with plain text; None if there are none."""
+        place = layer.start(a), layer.end(b)
+        key = (hashlib.blake2b(run.encode(), digest_size=16).digest(), *place)
         if key in budget.tried:
-            return None, budget.tried[key]
-        budget.too_large = None
-        got = _base64(run, budget)
-        if budget.too_large is not None:
-            at = (start, budget.too_large)
-            budget.closed[at] = max(end, budget.closed.get(at, 0))
-        budget.tried[key] = got[1] if got else None
-        return (Layer(got[0], np.broadcast_to(np.int64(start), len(got[0])), np.broadcast_to(np.int64(end), len(got[0]))) if got else None), budget.tried[key]
+            return iter(()), budget.tried[key]
+
+        def layers() -> Iterator[tuple[Layer, bool]]:
+            try:
+                for text, plain in _contents(run):
+                    yield Layer(text, place), plain
+            except Closed:
+                at = (place[0], run[:64])
+                budget.closed[at] = max(place[1], budget.closed.get(at, 0))
+
+        rest = layers()
+        first = next(rest, None)
+        budget.tried[key] = first[1] if first else None
+        return (got for got, _ in chain([first] if first else [], rest)), budget.tried[key]
 
     done = []
     for tries in _wrapped(text):
         for lines in tries:
             got, plain = opened("".join(text[a:b] for a, b in lines), lines[0][0], lines[-1][1])
-            if got:
-                yield got
+            yield from got
             if plain:
                 done.append((lines[0][0], lines[-1][1]))
                 break
@@ -277,12 +462,10 @@ def children(layer: Layer, budget: Budget) -> Iterator[Layer]:
         if done and done[-1][0] <= m.start() and m.end() <= done[-1][1]:
             continue  # a line of what is open already
         got, plain = opened(m[0], m.start(), m.end())
-        if got:
-            yield got
+        yield from got
         if not plain and not m[0].rstrip("=").isalnum():
             for p in _PIECES.finditer(m[0]):
-                if got := opened(p[0], m.start() + p.start(), m.start() + p.end())[0]:
-                    yield got
+                yield from opened(p[0], m.start() + p.start(), m.start() + p.end())[0]
 
 
 def _may_hide(text: str) -> bool:
@@ -301,9 +484,8 @@ def _scan(text: str | None) -> tuple[list[Span], list[Span], int, list[tuple[int
     base = base_spans(text)
     if not _may_hide(text):
         return base, base, 0, []
-    found, budget, layers = set(base), Budget(MAX_EXPANDED), 0
-    at = np.arange(len(text))
-    root = Layer(text, at, at + 1)
+    found, budget, layers = set(base), Budget(len(text)), 0
+    root = Layer(text)
     seen, work = {root.key()}, [children(root, budget)]
     while work:
         if (child := next(work[-1], None)) is None:
@@ -313,7 +495,7 @@ def _scan(text: str | None) -> tuple[list[Span], list[Span], int, list[tuple[int
             continue
         seen.add(key)
         layers += 1
-        found.update((int(child.starts[s]), k, int(child.ends[e - 1])) for s, k, e in base_spans(child.text))
+        found.update((child.start(s), k, child.end(e)) for s, k, e in base_spans(child.text))
         work.append(children(child, budget))
     return base, sorted(found), layers, [(a, b) for (a, _), b in budget.closed.items()]
 

@@ -9,6 +9,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -144,6 +145,10 @@ FORMS = {
     "UTF-16 BE": base64.b64encode(PLAIN.encode("utf-16-be")).decode(),
     "Latin-1": base64.b64encode(("é " + PLAIN).encode("latin-1")).decode(),
     "Latin-1 in gzip": base64.b64encode(gzip.compress(("é " + PLAIN).encode("latin-1"))).decode(),
+    "bare deflate": base64.b64encode(zlib.compress(LONG.encode(), wbits=-15)).decode(),
+    "gzip in zstandard in xz": base64.b64encode(lzma.compress(zstandard.compress(gzip.compress(LONG.encode())))).decode(),
+    "members of several kinds": base64.b64encode(gzip.compress(b"first") + bz2.compress(b"second") + zstandard.compress(PLAIN.encode())).decode(),
+    "gzip cut short": base64.b64encode(gzip.compress(LONG.encode() + random.Random(1).randbytes(9000))[:-2000]).decode(),
     "percent Latin-1": "%E9" + "".join(f"%{b:02X}" for b in PLAIN.encode()),
 }
 
@@ -172,3 +177,73 @@ def test_closed_layers_are_not_passed_as_clean(spark):
     bomb = base64.b64encode(zlib.compress(b"password=abcdef " + bytes(S.MAX_EXPANDED))).decode()
     got = S.redact(spark.createDataFrame([row(1, f"a {bomb} b")], STRUCT)).collect()
     assert [r.text for r in got] == [f"a {S.MARK} b"]
+
+
+def percent(t, k=0):
+    return "".join(f"%{'25' * k}{b:02X}" for b in t.encode())
+
+
+ESCAPES = {"%": lambda c: f"%{ord(c):02x}", "u": lambda c: f"\\u{ord(c):04x}", "x": lambda c: f"\\x{ord(c):02X}", "U": lambda c: f"\\U{ord(c):08x}", "&": lambda c: f"&#{ord(c)};", "h": lambda c: f"&#x{ord(c):x};"}
+
+
+def test_random_nests_against_a_plain_decoder():
+    """Escapes of random kinds around single characters, layer in layer: every secret with its exact place."""
+    r = random.Random(11)
+    for _ in range(200):
+        pieces = []
+        for word in [PLAIN, "x \u00e9 y", "token=abcdef "][: r.randint(1, 3)]:
+            for c in word:
+                piece = c
+                if ord(c) < 128:
+                    for _ in range(r.choice([0, 0, 0, 1, 2, 5])):
+                        at = r.randrange(len(piece))
+                        piece = piece[:at] + ESCAPES[r.choice("%uxU&h")](piece[at]) + piece[at + 1 :]
+                pieces.append((c, piece))
+            pieces.append((" ", " "))
+        text, plain = "".join(p for _, p in pieces), "".join(c for c, _ in pieces)
+        edges = [0]
+        for _, p in pieces:
+            edges.append(edges[-1] + len(p))
+        want = {(edges[s], k, edges[e]) for s, k, e in brute(plain)}
+        assert want <= set(S.scan(text)[1]), text
+        flat = S._flattened(S.Layer(text))
+        assert flat.text == plain
+        assert {(flat.start(s), k, flat.end(e)) for s, k, e in brute(plain)} == want
+
+
+def test_deep_nests_take_linear_time():
+    for nest in (percent("A", 66_000), percent("A", 0).join(["%25" * 30_000] * 2), "\\u005c" + "u005c" * 40_000 + "x41", "&#38;" + "#38;" * 50_000 + "#65;"):
+        text = f"password=abc {nest} token=%61bcdef"
+        start = time.perf_counter()
+        base, every, _, closed = S.scan(text)
+        assert time.perf_counter() - start < 20 and closed == 0
+        assert (len(text) - 14, 0, len(text)) in every
+    deep = percent("password=abcdef", 5_000)
+    assert (0, 0, len(deep)) in S.scan(deep)[1]
+    latin = percent("\u00e9 token=abcdef", 400)
+    assert [k for _, k, _ in S.scan(latin * 3)[1]].count(0) >= 3
+
+
+def test_large_layers_are_followed_in_parts():
+    inner = base64.b64encode(gzip.compress(PLAIN.encode())).decode()
+    text = ("nothing to see in this line.\n" * 1_500_000 + PLAIN + "\n" + "more of the same, line by line.\n" * 200_000 + inner).encode()
+    assert len(text) > S.MAX_EXPANDED
+    for packed in (gzip.compress(text, 1), zlib.compress(text, 1, wbits=-15), zstandard.compress(text)):
+        run = base64.b64encode(packed).decode()
+        _, every, layers, closed = S.scan(f"a {run} b")
+        assert closed == 0 and layers >= 3 and {k for _, k, _ in every} == {0, 1, 2} and {(s, e) for s, _, e in every if e - s > 1000} == {(2, 2 + len(run))}
+
+
+def test_every_closed_layer_is_counted(monkeypatch):
+    filters = [{"id": lzma.FILTER_LZMA2, "dict_size": 512 << 20, "preset": 1}]
+    xz = lzma.compress(PLAIN.encode() * 3, format=lzma.FORMAT_XZ, filters=filters)
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
+    zst = wide.compress(LONG.encode()) + wide.flush()
+    for packed in (xz, zst):
+        run = base64.b64encode(packed).decode()
+        assert S.scan(f"a {run} b")[3] == 1
+    monkeypatch.setattr(S, "MAX_LAYER", 50_000)
+    lines = base64.b64encode(gzip.compress(b"password=abcdef\n" * 10_000)).decode()
+    assert S.scan(lines)[3] == 1
+    bare = base64.b64encode(zlib.compress(b"password=abcdef\n" * 10_000, wbits=-15)).decode()
+    assert S.scan(bare)[3] == 1
