@@ -1,4 +1,4 @@
-"""Connected components by alternating stars, and streaming over sorted groups."""
+"""Joins with hot keys, connected components by alternating stars, and streaming over sorted groups."""
 
 from __future__ import annotations
 
@@ -11,25 +11,44 @@ from pyspark.sql import functions as F
 from brindle.llm import common as C
 
 
+#: Keys with more rows than this are hot; of all rows no more than one in MOST_HOT keys can be, as the limit grows with the table.
+SPLIT, MOST_HOT = 512, 1_000_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, and in _n the number of rows with that key.
+
+    Both are written tables. Rows of hot keys stay where they are and meet the
+    table's few hot rows by broadcast, the others are shuffled by key.
+    """
+    most, total = table.agg(F.max("_n"), F.sum("_n")).first()
+    if not most or most <= SPLIT:
+        return rows.join(table.drop("_n"), keys)
+    limit = max(SPLIT, total // MOST_HOT)
+    hot, rest = (table.where(c).drop("_n") for c in (F.col("_n") > limit, F.col("_n") <= limit))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: a, b (long). node and root, its component's least node, for every node of an edge.
 
     Large-star and small-star steps in turn: each replaces a node's edges by
     edges to the least neighbour. The edge list is written every round and
-    never grows; the rounds end when it no longer changes. The least neighbours
-    are written before they are joined, for the optimizer to split the edges of
-    a star's centre among tasks.
+    never grows; the rounds end when it no longer changes. The edges of a
+    star's centre don't meet in one task.
     """
     edges = C.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     told = _digest(edges)
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = C.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = C.staged(large, "large")
-        low = C.staged(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        edges = C.staged(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        with C.scratch() as keep:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = C.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n")), "least")
+            large = spread_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = C.staged(large, "large")
+            low = C.staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")), "low")
+            small = spread_join(large, low, ["a"]).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+            edges = keep(C.staged(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges"))
         was, told = told, _digest(edges)
         if was == told:
             break

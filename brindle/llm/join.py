@@ -8,8 +8,11 @@
    probability of reaching the threshold (uniform prior) falls below TOLERANCE
    is dropped. Surviving pairs connect components; only spanning edges leave a
    task. Large buckets are compared block against block.
-4. In a component all pairs are verified exactly on whole shingle sets, block
-   against block, by counting common shingles. Each representative gets the
+4. Pairs are verified exactly on whole shingle sets, block against block, by
+   counting common shingles: all pairs of a component, or, in a component of more
+   than a block whose buckets have fewer pairs than it has, all pairs of each
+   bucket, where a link counts in the first bucket that both texts are in. So
+   chains of candidates aren't compared end to end. Each representative gets the
    number of documents it is linked with; exact links make the classes.
 
 No pair list leaves a task, so the output stays at one row per document; the
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import common as C
-from brindle.llm.groups import components, over_groups
+from brindle.llm.groups import components, over_groups, spread_join
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP = 24, 4, 16
@@ -210,13 +213,22 @@ def in_blocks(rows: DataFrame, group: str, size: Column, key: str, block: int) -
     return rows.withColumn("bi", F.least("mine", "_other")).withColumn("bj", F.greatest("mine", "_other")).drop("_other")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """reps: rk, sig, bands. Spanning edges a, b between representatives that may be similar."""
-    rows = reps.select("rk", F.explode("bands").alias("bucket"))
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """rows: bucket, rk. bucket and size of those with two members or more, one for each set of members."""
     whole = F.col("rk").cast("decimal(20,0)")
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), "rk")).alias("x"), F.sum(F.xxhash64(F.lit(2), "rk").cast("decimal(20,0)")).alias("y"), F.min(whole).alias("z"))
-    buckets = buckets.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    placed = C.staged(rows.join(buckets, "bucket"), "buckets")
+    return buckets.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+
+
+def in_buckets(reps: DataFrame) -> DataFrame:
+    """reps: rk, bands. bucket, rk, size of every representative in a bucket that counts."""
+    rows = reps.select("rk", F.explode("bands").alias("bucket"))
+    buckets = C.staged(distinct_buckets(rows).withColumn("_n", F.col("size")), "sizes")
+    return C.staged(spread_join(rows, buckets, ["bucket"]).select("bucket", "rk", "size"), "buckets")
+
+
+def candidates(reps: DataFrame, placed: DataFrame) -> DataFrame:
+    """reps: rk, sig. Spanning edges a, b between representatives that may be similar."""
     dealt = in_blocks(placed, "bucket", F.col("size"), "rk", BUCKET_BLOCK).select("bucket", "bi", "bj", "mine", "rk")
     dealt = dealt.join(reps.select("rk", "sig"), "rk")
     least = least_matches()
@@ -243,8 +255,45 @@ def candidates(reps: DataFrame) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(over_groups(keys, compare), "a long, b long")
 
 
+def compared(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """found: node, root of candidates' components. Who is compared with whom: part, grp, size, rk, kept.
+
+    part 0: grp is a component. part 1: grp is a bucket within one, kept all such buckets of the row.
+    """
+    sizes = C.staged(found.groupBy("root").agg(F.count("*").alias("size")).withColumn("_n", F.col("size")), "sizes")
+    members = C.staged(spread_join(found, sizes, ["root"]).select(F.col("node").alias("rk"), F.col("root").alias("comp"), "size"), "members")
+    whole = members.select(F.lit(0).alias("part"), F.col("comp").alias("grp"), "size", "rk", F.lit(None).cast("array<long>").alias("kept"))
+    large = members.where(F.col("size") > TEXT_BLOCK)
+    if large.isEmpty():
+        return whole
+    inner = C.staged(placed.select("bucket", "rk").join(large, "rk").select("comp", F.col("size").alias("all"), F.xxhash64("comp", "bucket").alias("bucket"), "rk"), "inner")
+    buckets = C.staged(distinct_buckets(inner.select("bucket", "rk")).withColumn("_n", F.col("size")), "sizes")
+    inner = C.staged(spread_join(inner, buckets, ["bucket"]), "inner")
+    sparse = inner.groupBy("comp", "all").agg(F.sum("size").alias("work")).where(F.col("work") < F.col("all") * F.col("all")).select("comp")
+    sparse = _sized(C.staged(sparse, "sparse"))  # a row for each large component
+    inner = C.staged(inner.join(sparse, "comp", "left_semi"), "inner")
+    kept = inner.groupBy("rk").agg(F.array_sort(F.collect_list("bucket")).alias("kept"))  # BANDS entries at most
+    parts = inner.join(kept, "rk").select(F.lit(1).alias("part"), F.col("bucket").alias("grp"), "size", "rk", "kept")
+    return whole.join(sparse.withColumnRenamed("comp", "grp"), "grp", "left_anti").select(*parts.columns).unionByName(parts)
+
+
+def _firsts(kept: list, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Of pairs of rows those whose first common bucket is this one."""
+    info = np.iinfo(np.int64)
+    width = max(map(len, kept))
+    left, right = np.full((len(kept), width), info.max), np.full((len(kept), width), info.min)
+    for k, x in enumerate(kept):
+        left[k, : len(x)] = right[k, : len(x)] = x
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = left[a[at : at + (1 << 14)]], right[b[at : at + (1 << 14)]]
+        common = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[at : at + (1 << 14)] = x[np.arange(len(x)), common.argmax(axis=1)] == bucket
+    return out
+
+
 def verified(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """texts: comp, size, rk, m, text of all members. Rows rk, linked (documents), root (a similar representative)."""
+    """texts: part, grp, size, rk, kept, m, text. Rows rk, linked (documents), root (a similar representative)."""
 
     def verify(group: pa.Table) -> pa.RecordBatch | None:
         if group.num_rows < 2:
@@ -257,6 +306,10 @@ def verified(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rk, m = group["rk"].to_numpy()[order], group["m"].to_numpy()[order]
         sets = [shingles(group["text"][int(k)].as_py()) for k in order]
         a, b = links(sets, split, threshold)
+        if len(a) and group["part"][0].as_py():
+            kept = group["kept"].to_pylist()
+            first = _firsts([kept[k] for k in order], a, b, group["grp"][0].as_py())
+            a, b = a[first], b[first]
         if not len(a):
             return None
         linked = np.bincount(a, weights=m[b], minlength=len(rk)) + np.bincount(b, weights=m[a], minlength=len(rk))
@@ -264,33 +317,37 @@ def verified(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         on = np.flatnonzero(linked)
         return pa.RecordBatch.from_arrays([pa.array(rk[on]), pa.array(linked[on].astype(np.int64)), pa.array(rk[root[on]])], ["rk", "linked", "root"])
 
-    keys = ["comp", "bi", "bj"]
-    dealt = in_blocks(texts, "comp", F.col("size"), "rk", TEXT_BLOCK).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "mine", "rk", "m", "text").mapInArrow(over_groups(keys, verify), "rk long, linked long, root long")
+    keys = ["part", "grp", "bi", "bj"]
+    dealt = in_blocks(texts, "grp", F.col("size"), "rk", TEXT_BLOCK).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "mine", "rk", "m", "kept", "text").mapInArrow(over_groups(keys, verify), "rk long, linked long, root long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """rk, doc_id, rep (the representative's row key; null without words), class (a key), class_id, n_links of every document."""
     rows = C.staged(signed(docs, id_col, text_col), "signed")
-    reps = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("rk", "sig", "bands")).alias("x"), F.count("*").alias("m"), F.min("doc_id").alias("first_id"))
-    reps = C.staged(reps.select("h1", "h2", "n", "x.*", "m", "first_id"), "reps")
-    found = C.staged(components(C.staged(candidates(reps), "candidates")), "components")
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    members = found.join(sizes, "root").select(F.col("node").alias("rk"), F.col("root").alias("comp"), "size").join(reps.select("rk", "m"), "rk")
-    members = _sized(C.staged(members, "members"))
-    texts = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")).join(members, "rk")
-    texts = texts.dropDuplicates(["rk"]) if _repeats(rows) else texts
-    exact = C.staged(verified(texts, threshold), "links")
-    linked = exact.groupBy("rk").agg(F.sum("linked").alias("linked"))
-    roots = components(exact.select(F.col("rk").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rk"), "root")
-    told = reps.join(linked, "rk", "left").join(roots, "rk", "left")
-    told = C.staged(told.select("h1", "h2", "n", F.col("rk").alias("rep"), "first_id", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rk").alias("class"), F.col("root").isNotNull().alias("joined")), "told")
-    # only classes of several representatives need a look at their members
-    least = told.where("joined").groupBy("class").agg(F.min("first_id").alias("least"))
-    told = told.join(least, "class", "left").select("h1", "h2", "n", "rep", "class", F.coalesce("least", "first_id").alias("class_id"), "n_links")
-    out = rows.select("rk", "doc_id", "n", "h1", "h2").join(told, ["h1", "h2", "n"], "left")
-    empty = F.col("rep").isNull()
-    return out.select("rk", "doc_id", "rep", F.coalesce("class", "rk").alias("class"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    with C.scratch() as keep:
+        reps = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("rk", "sig", "bands")).alias("x"), F.count("*").alias("m"), F.min("doc_id").alias("first_id"))
+        reps = C.staged(reps.select("h1", "h2", "n", "x.*", "m", "first_id"), "reps")
+        placed = in_buckets(reps)
+        found = C.staged(components(C.staged(candidates(reps, placed), "candidates")), "components")
+        members = _sized(C.staged(compared(placed, found).join(reps.select("rk", "m"), "rk"), "members"))
+        texts = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")).join(members, "rk")
+        texts = texts.dropDuplicates(["rk", "part", "grp"]) if _repeats(rows) else texts
+        exact = C.staged(verified(texts, threshold), "links")
+        linked = exact.groupBy("rk").agg(F.sum("linked").alias("linked"))
+        roots = components(exact.select(F.col("rk").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rk"), "root")
+        told = reps.join(linked, "rk", "left").join(roots, "rk", "left")
+        told = C.staged(told.select("h1", "h2", "n", F.col("rk").alias("rep"), "first_id", "m", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rk").alias("class"), F.col("root").isNotNull().alias("joined")), "told")
+        # only classes of several representatives need a look at their members
+        alone, several = told.where("not joined"), told.where("joined")
+        least = C.staged(several.groupBy("class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("_n")), "least")
+        names = ["h1", "h2", "n", "rep", "class", "class_id", "n_links", F.col("m").alias("_n")]
+        told = spread_join(several, least, ["class"]).select(*names).unionByName(alone.withColumn("class_id", F.col("first_id")).select(*names))
+        told = keep(C.staged(told, "told"))
+    full = spread_join(rows.where("n > 0").select("rk", "doc_id", "n", "h1", "h2"), told, ["h1", "h2", "n"])
+    full = full.select("rk", "doc_id", "rep", "class", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    empty = rows.where("n = 0").select("rk", "doc_id", F.lit(None).cast("long").alias("rep"), F.col("rk").alias("class"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(empty)
 
 
 def _sized(keys: DataFrame) -> DataFrame:
@@ -304,23 +361,30 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 
-
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     return classes(docs, id_col, text_col, threshold).select("doc_id", "class_id", "n_links")
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that are linked, directly or by others, with one of a lesser id; with all their columns."""
+    """The documents without those that are linked, directly or by others, with one of a lesser id; with all their columns.
+
+    Of rows with the same id and text one stays, the same on every run.
+    """
     told = C.staged(classes(docs, id_col, text_col, threshold), "classes")
-    several = told.groupBy("class").agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "rk")).alias("first")).where("size > 1")
-    rows = told.join(several, "class").select("rk", (F.col("rk") == F.col("first.rk")).alias("stays"))
-    keyed = docs.withColumn("_rk", row_key(id_col, text_col))
+    several = told.groupBy("class").agg(F.count("*").alias("_n"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "rk")).alias("first")).where("_n > 1")
+    rows = spread_join(told, C.staged(several, "several"), ["class"]).select("rk", (F.col("rk") == F.col("first.rk")).alias("stays"))
+    key = "_rk"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
     # a row that is equal to the one that stays shares its key
-    lost = C.staged(rows.where("not stays").select(F.col("rk").alias("_rk")).distinct(), "lost")
-    kept = keyed.join(_sized(lost), "_rk", "left_anti")
-    twice = C.staged(told.where("rep is not null").groupBy(F.col("rk").alias("_rk")).count().where("count > 1").select("_rk"), "twice")
+    lost = C.staged(rows.where("not stays").select(F.col("rk").alias(key)).distinct(), "lost")
+    kept = keyed.join(_sized(lost), key, "left_anti")
+    twice = C.staged(told.where("rep is not null").groupBy(F.col("rk").alias(key)).count().where("count > 1").select(key), "twice")
     if not twice.isEmpty():  # equal rows share a key: one of them stays
         twice = _sized(twice)
-        kept = kept.join(twice, "_rk", "left_anti").unionByName(kept.join(twice, "_rk", "left_semi").dropDuplicates(["_rk"]))
-    return kept.select(*docs.columns)
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = kept.join(twice, key, "left_semi").groupBy(key).agg(F.min_by(whole.alias("doc"), F.xxhash64(F.to_json(whole))).alias("doc"))
+        kept = kept.join(twice, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one.select("doc.*"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

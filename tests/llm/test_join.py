@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from small_docs import STRUCT, row, sentence
 
 from brindle.llm import groups, join as J
@@ -58,14 +59,53 @@ def copies(corpus):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [(1024, 384), (5, 4)])
+@pytest.mark.parametrize("blocks", [(1024, 384, 512), (5, 4, 3)])
 def test_all_links(spark, copies, blocks, monkeypatch):
     monkeypatch.setattr(J, "BUCKET_BLOCK", blocks[0])
     monkeypatch.setattr(J, "TEXT_BLOCK", blocks[1])
+    monkeypatch.setattr(groups, "SPLIT", blocks[2])
     got = J.jaccard_classes(spark.createDataFrame(copies, STRUCT).repartition(4)).collect()
     assert sorted((repr(r.doc_id), repr(r.class_id), r.n_links) for r in got) == brute(copies)
 
 
+def test_chains_are_compared_in_buckets(spark, monkeypatch):
+    """Each text is a shift of the one before: neighbours are linked, the ends of a chain have nothing in common."""
+    monkeypatch.setattr(J, "TEXT_BLOCK", 16)
+    r = random.Random(4)
+    words = sentence(r, "en", 1500).split()
+    rows = [row(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(300)] + [row(900 + i, sentence(r, "fr", 100)) for i in range(20)]
+    df = spark.createDataFrame(rows, STRUCT)
+    parts, compared = [], J.compared
+
+    def watched(*given):
+        out = compared(*given)
+        parts.append(out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(J, "compared", watched)
+    got = J.jaccard_classes(df).collect()
+    want = brute(rows)
+    assert {r.part for r in parts[0]} >= {1}
+    assert sorted((repr(x.doc_id), repr(x.class_id), x.n_links) for x in got) == want and max(n for *_, n in want) == 6
+
+
+def test_clashing_names_and_equal_rows(spark):
+    rows = [(1, "some words that are equal in all", k, f"x{k}") for k in range(5)] + [(2, "some words that are equal in all", 9, "y"), (3, None, 1, "z"), (3, None, 2, "z")]
+    kept = [[tuple(r) for r in J.first_of_each_class(spark.createDataFrame(x, "doc_id long, text string, _rk int, `a.b` string").repartition(n)).collect()] for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert sorted(kept[0], key=repr) == sorted(kept[1], key=repr) and len(kept[0]) == 3
+    assert {r[0] for r in kept[0]} == {1, 3} and next(r for r in kept[0] if r[0] == 1) in rows
+
+
+def test_hot_keys_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(groups, "SPLIT", 10)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(500)], "a long, x long")
+    table = rows.groupBy("a").agg(F.max("x").alias("m"), F.count("*").alias("_n"))
+    for limit in (10, 60, 1000):
+        monkeypatch.setattr(groups, "SPLIT", limit)
+        got = sorted(tuple(r) for r in groups.spread_join(rows, table, ["a"]).select("a", "x", "m").collect())
+        assert got == sorted(tuple(r) for r in rows.join(table, "a").select("a", "x", "m").collect()) and len(got) == 500
+
+
 def test_one_document_of_each_class_stays(spark, copies, no_docs):
     df = spark.createDataFrame(copies, STRUCT)
     kept = J.first_of_each_class(df)
