@@ -63,8 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.staged(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with common.scratch() as keep:  # what a stage has written for itself goes
+            docs = keep(common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+    return STAGES[-1][1](spark, docs, sf_dir)
