@@ -47,8 +47,8 @@ QUERY_BITS = 4
 EPSILON = 3.0
 #: Candidates per query that are scored before its first limit is known.
 FIRST = 64
-#: Rounding of products in double precision, in parts of the two lengths.
-ROUNDING = 1e-12
+#: Rounding of products in double and single precision, in parts of the lengths; smaller products may have lost digits.
+ROUNDING, SINGLE, VANISHED = 1e-12, 1e-5, 1e-290
 _PAIRS = 512
 
 
@@ -88,6 +88,7 @@ class Queries:
         self.rows, self.ids, self.vectors, self.top = rows, ids, vectors, top
         n, self.d = vectors.shape
         units, self.norms = directions(vectors)
+        self.short = units.astype(np.float32)
         turned = units @ rotation(self.d)
         self.low = turned.min(axis=1)
         self.step = np.maximum((turned.max(axis=1) - self.low) / ((1 << QUERY_BITS) - 1), 1e-300)
@@ -99,13 +100,13 @@ class Queries:
         self.best_ids, self.best = np.full((n, top), np.iinfo(np.int64).max), np.full((n, top), -np.inf)
         self.found = np.zeros(n, np.int64)
 
-    def estimates(self, k: int, bits: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        """Products of query k's direction with the signs of codes, from packed bits."""
-        counts = np.zeros(bits.shape[1], np.int32)
+    def counts(self, k: int, bits: np.ndarray) -> np.ndarray:
+        """Sums of query k's rounded coordinates where codes have a bit, by counting the bits common with its planes."""
+        out = np.zeros(bits.shape[1], np.int32)
         for j, planes in enumerate(self.planes):
             for w, word in enumerate(bits):
-                counts += np.bitwise_count(word & planes[w, k]).astype(np.int32) << j
-        return (2 * self.low[k] * ones + 2 * self.step[k] * counts - (self.d * self.low[k] + self.step[k] * self.sums[k])) / np.sqrt(self.d)
+                out += np.bitwise_count(word & planes[w, k]).astype(np.int32) << j
+        return out
 
     def search(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, norms: np.ndarray, cosines: np.ndarray) -> int:
         """Take a chunk of codes into account; the number of pairs that were reranked."""
@@ -113,34 +114,48 @@ class Queries:
         packed = np.pad(packed, [(0, 0), (0, -packed.shape[1] % 8)])
         bits = np.ascontiguousarray(packed.view(np.uint64).T)
         ones = np.bitwise_count(bits).sum(axis=0, dtype=np.int32)
-        bound = EPSILON * np.sqrt(np.maximum(1 - cosines**2, 0) / max(d - 1, 1))
+        # in parts of the largest norm and the query's, single precision reaches; its rounding is in the bound
+        norms = np.minimum(norms, np.finfo(np.float64).max)
+        most = norms.max()
+        size = norms / most / cosines
+        unit = (size / np.sqrt(d)).astype(np.float32)
+        unit_ones = unit * ones
+        width = EPSILON * (np.sqrt(np.maximum(1 - cosines**2, 0) / max(d - 1, 1)) + self.lost.max() / np.sqrt(d))
+        width = (width * size + SINGLE * (1 + size)).astype(np.float32)
+        units, lengths = directions(vectors)[0].astype(np.float32), (norms / most).astype(np.float32)
         own = {self.place[int(r)]: c for c, r in enumerate(rows) if int(r) in self.place}
         reranked = 0
         for k in range(len(self.ids)):
             query = self.vectors[k]
+            guess = np.multiply(self.counts(k, bits), np.float32(2 * self.step[k]), dtype=np.float32)
+            guess -= np.float32(d * self.low[k] + self.step[k] * self.sums[k])
+            guess *= unit
+            guess += np.float32(2 * self.low[k]) * unit_ones
+            if k in own:
+                guess[own[k]] = -np.inf
             with np.errstate(over="ignore", invalid="ignore"):
-                size = norms * self.norms[k]
-                guess = self.estimates(k, bits, ones) / cosines
-                slack = ROUNDING * size
-                upper = (guess + (bound + EPSILON * self.lost[k] / np.sqrt(d)) / cosines) * size + slack
-                if k in own:
-                    upper[own[k]] = guess[own[k]] = -np.inf
                 limit = self.best[k, -1]
                 if self.found[k] < top and len(ids) > FIRST + 1:
-                    near = np.argpartition(guess * size, len(ids) - FIRST)[-FIRST:]
+                    near = np.argpartition(guess, len(ids) - FIRST)[-FIRST:]
                     near = near[near != own[k]] if k in own else near
-                    reached = vectors[near] @ query
-                    limit = max(limit, np.partition(reached - slack[near], len(near) - top)[len(near) - top]) if len(near) >= top else limit
-                chosen = ~(upper < limit)
+                    reached = vectors[near] @ query - ROUNDING * norms[near] * self.norms[k]
+                    limit = max(limit, np.partition(reached, len(near) - top)[len(near) - top]) if len(near) >= top else limit
+                # a limit that has overflowed or vanished tells nothing of the order
+                bar = limit / self.norms[k] / most if np.isfinite(limit) and abs(limit) > VANISHED else -np.inf
+                guess += width
+                chosen = guess >= np.float32(bar)
                 if k in own:
                     chosen[own[k]] = False
                 chosen = np.flatnonzero(chosen)
-                reached = vectors[chosen] @ query
-                fine = ~(reached + slack[chosen] < limit)
-                chosen, reached = chosen[fine], reached[fine]
+                if len(chosen) > top:
+                    short = np.take(units, chosen, axis=0) @ self.short[k]
+                    chosen = chosen[short * lengths[chosen] >= np.float32(bar) - np.float32(SINGLE)]
+                reached, slack = vectors[chosen] @ query, ROUNDING * norms[chosen] * self.norms[k]
+                fine = ~(reached + slack < limit)
+                chosen, reached, slack = chosen[fine], reached[fine], slack[fine]
                 if len(chosen) > 4 * top:
-                    low = reached - slack[chosen]
-                    chosen = chosen[~(reached + slack[chosen] < np.partition(low, len(low) - top)[len(low) - top])]
+                    low = reached - slack
+                    chosen = chosen[~(reached + slack < np.partition(low, len(low) - top)[len(low) - top])]
                 if not len(chosen):
                     continue
                 scores = exact(self.vectors, vectors, np.full(len(chosen), k), chosen)

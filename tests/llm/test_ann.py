@@ -111,7 +111,8 @@ def test_bounds_hold():
     bits, norms, cosines = A.codes(v)
     asked = A.Queries(np.array([0]), np.array([0]), q[None, :], 20)
     packed = np.ascontiguousarray(bits.view(np.uint64).T)
-    guess = asked.estimates(0, packed, np.bitwise_count(packed).sum(axis=0)) * norms / cosines * np.linalg.norm(q)
+    near = (2 * asked.low[0] * np.bitwise_count(packed).sum(axis=0, dtype=int) + 2 * asked.step[0] * asked.counts(0, packed) - (64 * asked.low[0] + asked.step[0] * asked.sums[0])) / 8
+    guess = near * norms / cosines * np.linalg.norm(q)
     plain = ((np.unpackbits(bits, axis=1) * 2.0 - 1) / 8) @ (q @ A.rotation(64)) * norms / cosines
     assert np.abs(guess - plain).max() < 0.1 * np.abs(plain).max() and asked.lost[0] < 0.2
     width = norms * np.sqrt(1 - cosines**2) / cosines / np.sqrt(63) * A.EPSILON * np.linalg.norm(q)
