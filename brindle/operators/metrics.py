@@ -70,15 +70,15 @@ def merge_stats(pts: DataFrame, after: DataFrame, part: str = "part") -> MergeSt
     return MergeStats(a[0], a[1], a[2], after.count(), a[3])
 
 
-def downsampled(pts: DataFrame, gran_ms: int) -> DataFrame:
-    """count, sum, min, max and delta of every bucket of every series.
+def downsampled(pts: DataFrame, gran_ms: int, apart: tuple[str, ...] = ()) -> DataFrame:
+    """count, sum, min, max and delta of every bucket of every series; points that differ in `apart` don't share a bucket.
 
     delta is last minus first in time, or last alone after a counter's reset.
     NaN counts in sums but not in min and max, which are null if there is
     nothing else. point_max is the last time in the bucket.
     """
     number = F.when(~F.isnan("value"), F.col("value"))
-    rows = pts.groupBy(*SERIES, bucket_of(F.col("ts_ms"), gran_ms).alias("bucket_time")).agg(
+    rows = pts.groupBy(*SERIES, *apart, bucket_of(F.col("ts_ms"), gran_ms).alias("bucket_time")).agg(
         F.count("*").alias("count"),
         F.sum("value").alias("sum"),
         F.min(number).alias("min"),
@@ -88,7 +88,7 @@ def downsampled(pts: DataFrame, gran_ms: int) -> DataFrame:
         F.max("ts_ms").alias("point_max"),
     )
     delta = F.when(F.col("_last") < F.col("_first"), F.col("_last")).otherwise(F.col("_last") - F.col("_first"))
-    return rows.select(*SERIES, F.lit(gran_ms).cast("long").alias("gran_ms"), "bucket_time", "count", "sum", "min", "max", delta.alias("delta"), "point_max")
+    return rows.select(*SERIES, *apart, F.lit(gran_ms).cast("long").alias("gran_ms"), "bucket_time", "count", "sum", "min", "max", delta.alias("delta"), "point_max")
 
 
 def rolled_up(buckets: DataFrame, gran_ms: int) -> DataFrame:
@@ -98,10 +98,15 @@ def rolled_up(buckets: DataFrame, gran_ms: int) -> DataFrame:
     return out.select(*SERIES, F.lit(gran_ms).cast("long").alias("gran_ms"), "bucket_time", "count", "sum", "min", "max", "delta", "point_max")
 
 
+def by_time(pts: DataFrame) -> DataFrame:
+    """Points ordered by series and time, over ranges of both: a hot series has as many as it needs."""
+    return pts.repartitionByRange(*SERIES, "ts_ms").sortWithinPartitions(*SERIES, "ts_ms")
+
+
 def merge_shards(pts: DataFrame, path: str) -> dict[str, DataFrame]:
     """Points of several shards, deduplicated once and written; both granularities are made from what was written."""
     spark = pts.sparkSession
-    merged(pts).repartition(*SERIES).sortWithinPartitions(*SERIES, "ts_ms").write.mode("errorifexists").parquet(f"{path}/compact")
+    by_time(merged(pts)).write.mode("errorifexists").parquet(f"{path}/compact")
     out = {"compact": spark.read.parquet(f"{path}/compact")}
     for name, gran in (("5m", FIVE_MINUTES), ("1h", ONE_HOUR)):
         downsampled(out["compact"], gran).write.mode("errorifexists").parquet(f"{path}/{name}")

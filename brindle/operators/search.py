@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions.tokens import term_frequency
 from brindle.plans import dsl
 from brindle.plans.compile import PostingsPlan, ScanPlan, check
-from brindle.plans.query import MatchAll, Query, Term, simplified
+from brindle.plans.query import Bool, MatchAll, MatchNone, Occur, Query, Range, Term, simplified
 from brindle.plans.schema import Schema
 
 
@@ -36,11 +36,12 @@ class Searcher:
     from a table of terms, and needs one. Both find the same documents.
     """
 
-    def __init__(self, docs: DataFrame, schema: Schema, id_col: str = "doc_id", strategy: str = "scan", postings: DataFrame | None = None, stats: DataFrame | None = None) -> None:
+    def __init__(self, docs: DataFrame, schema: Schema, id_col: str = "doc_id", strategy: str = "scan", postings: DataFrame | None = None, stats: DataFrame | None = None, bounds: DataFrame | None = None) -> None:
+        """stats: documents of terms (terms.stats_of). bounds: least and greatest points (terms.point_stats). Counts read them where they can."""
         if strategy not in ("scan", "postings") or strategy == "postings" and postings is None:
             raise ValueError("strategy is scan, or postings with a table of terms")
         self.docs, self.schema, self.id_col, self.strategy = docs, schema, id_col, strategy
-        self.postings, self.stats = postings, stats
+        self.postings, self.stats, self.bounds = postings, stats, bounds
 
     def max_doc(self) -> int:
         return self.docs.count()
@@ -49,8 +50,7 @@ class Searcher:
         """The matching rows with all their columns, to aggregate as one likes."""
         if self.strategy == "scan":
             return self.docs.where(ScanPlan(self.schema, self.docs.schema).column(q))
-        ids = self._postings_plan(q).ids(q).withColumnRenamed("id", "_id")
-        return self.docs.join(ids, F.col(self.id_col) == F.col("_id"), "left_semi")
+        return self.docs.join(self.ids(q), self.id_col, "left_semi")
 
     def ids(self, q: Query) -> DataFrame:
         if self.strategy == "postings":
@@ -65,19 +65,39 @@ class Searcher:
         return PostingsPlan(self.schema, self.docs, self.postings, self.id_col, known)
 
     def count(self, q: Query) -> int:
-        """All matching documents; a single term is looked up where statistics are at hand."""
+        """All matching documents, from statistics where they say it."""
         check(q, self.schema)
-        q = simplified(q)
-        if isinstance(q, Term) and self.stats is not None and (spec := self.schema.get(q.field)) and spec.indexed:
+        known = self.known_count(simplified(q))
+        return self.ids(q).count() if known is None else known
+
+    def known_count(self, q: Query) -> int | None:
+        """The count of a simplified query that needs no look at the rows: all, none, a term, a range that holds all points or
+        none of a field, and whatever lacks one of these."""
+        if isinstance(q, MatchNone):
+            return 0
+        if isinstance(q, MatchAll):
+            return self.max_doc()
+        spec = self.schema.get(q.field) if isinstance(q, (Term, Range)) else None
+        if isinstance(q, Term) and not (spec and spec.indexed) or isinstance(q, Range) and not (spec and spec.points):
+            return 0
+        if isinstance(q, Term) and self.stats is not None:
             got = self.stats.where((F.col("field") == q.field) & (F.col("term") == q.term)).select("df").first()
             return got.df if got else 0
-        return self.ids(q).count()
+        if isinstance(q, Range) and self.bounds is not None:
+            got = self.bounds.where(F.col("field") == q.field).first()
+            if got is None or got.docs == 0 or q.high < got.min or got.max < q.low:
+                return 0
+            return got.docs if q.low <= got.min and got.max <= q.high else None
+        if isinstance(q, Bool) and len(q.clauses) == 1 and q.clauses[0][0] is Occur.MUST_NOT:
+            lost = self.known_count(q.clauses[0][1])
+            return None if lost is None else self.max_doc() - lost
+        return None
 
     def top_docs(self, q: Query, n: int) -> Result:
         """The first n by id."""
         found = self.ids(q)
         docs = [r[0] for r in found.orderBy(self.id_col).limit(n).collect()] if n else []
-        return Result(found.count(), docs)
+        return Result(self.count(q), docs)
 
     def by_field(self, q: Query, field: str, descending: bool = False, missing_first: bool = False) -> DataFrame:
         """Matching ids with the field's value, in order; ties by id. A field without numeric doc values is missing everywhere."""
@@ -101,7 +121,7 @@ class Searcher:
 
     def _top(self, q: Query, ordered: DataFrame, n: int) -> Result:
         rows = ordered.limit(n).collect() if n else []
-        return Result(self.ids(q).count(), [r[0] for r in rows], [r[1] for r in rows])
+        return Result(self.count(q), [r[0] for r in rows], [r[1] for r in rows])
 
     def search_json(self, request: str | bytes) -> str:
         """A JSON request to {"total": N, "docs": [...]}."""
@@ -122,6 +142,14 @@ class Searcher:
             return self.count(q)
         return self.docs.agg(F.coalesce(F.sum(term_frequency(F.col(q.field), q.term)), F.lit(0))).first()[0]
 
+    def doc_values(self, field: str) -> DataFrame:
+        """Ids and values of a field's doc values, numeric, sorted or binary, where documents have one; nothing for other fields."""
+        spec = self.schema.get(field)
+        if not spec or not spec.doc_values or field not in self.docs.columns:
+            return self.docs.select(self.id_col, F.lit(None).cast(spec.data_type() if spec else "string").alias("value")).where(F.lit(False))
+        value = F.col(f"`{field}`").cast(spec.data_type())
+        return self.docs.select(self.id_col, value.alias("value")).where(F.col("value").isNotNull())
+
     def document(self, doc_id: int) -> dict | None:
         """The stored fields of a document that it has."""
         stored = [f.name for f in self.schema.fields.values() if f.stored and f.name in self.docs.columns]

@@ -3,43 +3,23 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.shipping import ready
+from brindle.functions.shipping import ready, shared_dir
 from brindle.functions.tokens import tok
 from brindle.plans.schema import Schema
 
 _TERMS = re.compile(r"[^ \t\n\f\r]+")
 
 
-def occurrences(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """field, term, id, at: a row for each term of each value; at is the place in the value, offset far apart between values."""
-    parts = []
-    for spec in schema.fields.values():
-        if not spec.indexed or spec.name not in docs.columns or (only and spec.name not in only):
-            continue
-        col, many = F.col(spec.name), isinstance(docs.schema[spec.name].dataType, T.ArrayType)
-        values = docs.where(col.isNotNull()).select(F.col(id_col).alias("id"), (F.posexplode(col) if many else F.struct(F.lit(0).alias("value"), col.alias("text"))).alias(*(["value", "text"] if many else ["v"])))
-        values = values if many else values.select("id", "v.*")
-        values = values.where("text is not null")
-        if spec.tokenized:
-            rows = values.select("id", "value", F.posexplode(tok(F.col("text"))).alias("at", "term"))
-            rows = rows.select("id", "term", (F.col("value").cast("long") * (1 << 32) + F.col("at")).alias("at"))
-        else:
-            rows = values.select("id", F.col("text").alias("term"), F.lit(0).cast("long").alias("at"))
-        parts.append(rows.select(F.lit(spec.name).alias("field"), "term", "id", "at"))
-    if not parts:
-        raise ValueError("no indexed field")
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _by_document(tokenized: bool, field: str):
     """For mapInArrow over ids and values: a row for each term of a document, without a shuffle, since a document is in one task."""
 
@@ -88,10 +68,22 @@ def write_postings(table: DataFrame, path: str) -> None:
     table.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.mode("errorifexists").parquet(path)
 
 
-def term_stats(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """field, term, df (documents), ttf (occurrences)."""
-    by_doc = occurrences(docs, schema, id_col, only).groupBy("field", "term", "id").agg(F.count("*").alias("freq"))
-    return by_doc.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("freq").alias("ttf"))
+def term_stats(docs: DataFrame, schema: Schema, only: list[str] | None = None) -> DataFrame:
+    """field, term, df (documents, a row each), ttf (occurrences)."""
+    parts = []
+    for spec in schema.fields.values():
+        if not spec.indexed or spec.name not in docs.columns or (only and spec.name not in only):
+            continue
+        col, split = F.col(f"`{spec.name}`"), tok if spec.tokenized else F.array
+        many = isinstance(docs.schema[spec.name].dataType, T.ArrayType)
+        found = F.array_sort(F.flatten(F.transform(F.filter(col, lambda v: v.isNotNull()), split)) if many else F.when(col.isNotNull(), split(col)))
+        # in a document's sorted terms the first of equal ones counts for the document: sums in each task, one small shuffle
+        rows = docs.select(found.alias("_found")).select("_found", F.posexplode("_found").alias("_at", "term"))
+        first = (F.col("_at") == 0) | (F.get("_found", F.col("_at") - 1) != F.col("term"))
+        parts.append(rows.select(F.lit(spec.name).alias("field"), "term", first.cast("long").alias("_first")))
+    if not parts:
+        raise ValueError("no indexed field")
+    return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("_first").alias("df"), F.count("*").alias("ttf"))
 
 
 def stats_of(table: DataFrame) -> DataFrame:
@@ -104,23 +96,37 @@ def dictionary(stats: DataFrame, field: str, start: str = "") -> DataFrame:
     return stats.where((F.col("field") == field) & (F.col("term") >= start)).orderBy("term")
 
 
+#: Rows of a range that is ordered in one task, about.
+ROWS_PER_RANGE = 100_000
+
+
 def sorted_dictionary(docs: DataFrame, field: str, ranges: int = 0) -> DataFrame:
     """The distinct values of a field in byte order with their ordinals, which are sums over ranges of values."""
     values = docs.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
-    total = values.count()
-    n = ranges or max(1, min(256, total // 100_000))
-    cuts = []
-    if n > 1:
-        few = values.where(F.pmod(F.xxhash64("value"), F.lit(max(1, total))) < 40 * n).limit(160 * n).collect()
-        sample = sorted(r[0] for r in few)
-        cuts = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("value") >= F.lit(c)).cast("int")
-    placed = values.withColumn("_part", part)
-    before = placed.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).drop("n")
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1
-    return placed.withColumn("_in", inner).join(before, "_part").select("value", (F.col("_before") + F.col("_in")).cast("long").alias("ord"))
+    return placed(values, [F.col("value").asc()], "ord", ranges, ROWS_PER_RANGE)
+
+
+def placed(rows: DataFrame, order: list[Column], name: str, ranges: int, per_range: int) -> DataFrame:
+    """rows with their place in an order, from 0 on: the rows are dealt to ranges, as many as the table asks for, and written;
+    a place is the place in the range after the sizes of the ranges before, so that no task orders all rows."""
+    spark = rows.sparkSession
+    n = ranges or max(1, -(-rows.count() // per_range))
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row a range
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_in", inner).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
+
+
+def point_stats(docs: DataFrame, schema: Schema) -> DataFrame:
+    """field, min, max, docs of every field with points."""
+    fields = [f.name for f in schema.fields.values() if f.points and f.name in docs.columns]
+    if not fields:
+        raise ValueError("no field with points")
+    one = [bounds(docs.select(F.col(f"`{n}`").alias("_v")), "_v").select(F.lit(n).alias("field"), F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"), "docs") for n in fields]
+    return reduce(DataFrame.unionByName, one)
 
 
 def bounds(docs: DataFrame, field: str) -> DataFrame:

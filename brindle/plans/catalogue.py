@@ -269,7 +269,48 @@ def _(spark, sf_dir):
 
 @register("numeric_values", f"SELECT doc_id, quality::BIGINT AS quality FROM {D} WHERE quality IS NOT NULL")
 def _(spark, sf_dir):
-    return with_quality(spark, sf_dir).where("quality is not null").select("doc_id", "quality")
+    return Searcher(with_quality(spark, sf_dir), SCHEMA).doc_values("quality").select("doc_id", F.col("value").alias("quality"))
+
+
+@register("binary_values", "SELECT doc_id, hex(encode(source)) AS value FROM documents WHERE source IS NOT NULL")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.col("source").cast("binary").alias("raw"))
+    return Searcher(docs, Schema.of(FieldSpec.binary_dv("raw"))).doc_values("raw").select("doc_id", F.hex("value").alias("value"))
+
+
+@register("sorted_values", "SELECT doc_id, source AS value FROM documents WHERE source IS NOT NULL")
+def _(spark, sf_dir):
+    return Searcher(documents(spark, sf_dir), SCHEMA).doc_values("source")
+
+
+#: Documents with repeated fields: a keyword of two values, and the lines of the text.
+REPEATED = Schema.of(FieldSpec.keyword("tags"), FieldSpec.text("lines", positions=True))
+
+
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("tags"), F.split("text", "\n").alias("lines"))
+
+
+def _repeated_postings(spark, sf_dir, q: Query) -> DataFrame:
+    docs = repeated(spark, sf_dir)
+    return Searcher(docs, REPEATED, strategy="postings", postings=terms.postings(docs, REPEATED)).ids(q)
+
+
+for _name, _q, _where in (
+    ("and_repeated_keyword", And("tags", ("en", "src1")), "lang = 'en' AND source = 'src1'"),
+    ("and_repeated_text", And("lines", ("of", "the", "with")), both(both(has("of"), has("the")), has("with"))),
+    ("not_and_repeated_text", ~And("lines", ("of", "the")), no(both(has("of"), has("the")))),
+):
+    register(_name, f"SELECT doc_id FROM {D} WHERE {_where}")(lambda s, d, q=_q: Searcher(repeated(s, d), REPEATED).ids(q))
+    register(f"postings_{_name}", f"SELECT doc_id FROM {D} WHERE {_where}")(lambda s, d, q=_q: _repeated_postings(s, d, q).withColumnRenamed("id", "doc_id"))
+
+
+@register("known_counts", f"SELECT (SELECT count(*) FROM documents) AS every, (SELECT count(*) FROM documents WHERE lang = 'en') AS term, (SELECT count(n_chars) FROM documents) AS whole_range, 0 AS no_range, (SELECT count(*) FROM documents WHERE lang <> 'en') AS lacking")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    s = Searcher(docs, SCHEMA, stats=terms.term_stats(docs, SCHEMA, only=["lang"]), bounds=terms.point_stats(docs, SCHEMA))
+    asked = {"every": MatchAll(), "term": EN, "whole_range": Range("n_chars", -1, 1 << 40), "no_range": Range("n_chars", -9, -1), "lacking": ~EN}
+    return spark.createDataFrame([[s.known_count(q) for q in asked.values()]], ", ".join(f"{k} long" for k in asked))
 
 
 @register("point_bounds", "SELECT min(n_chars) AS min, max(n_chars) AS max, count(n_chars) AS docs FROM documents")
@@ -399,18 +440,74 @@ def _(spark, sf_dir):
     return store.open_snapshot(spark, f"{path}/table").groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@register("text_source", r"SELECT trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS message, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' GROUP BY message")
+def _(spark, sf_dir):
+    from brindle.sources import text_files
+
+    path = _folder(spark, "lines")
+    documents(spark, sf_dir).where("text is not null").select("text").write.text(path)
+    return text_files.numbered(text_files.read(spark, path)).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@register("documents_api", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS doc_id, n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def _(spark, sf_dir):
+    from brindle.sources.documents import Documents
+
+    schema = Schema.of(FieldSpec.keyword("name"), FieldSpec.long_point("region"))
+    path = _folder(spark, "documents")
+    docs = Documents(store.Writer(spark, path, spark.createDataFrame([], "doc_id long, name string, region long").schema), schema, max_buffered=10)
+    for row in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows, one call each: the feature
+        docs.begin()
+        docs.add("name", row.n_name)
+        docs.add("region", int(row.n_regionkey))
+        docs.end()
+    docs.commit()
+    return store.open_snapshot(spark, path)
+
+
+@register("writer_refusals", "SELECT unnest(['existing table', 'other schema', 'rival commit']) AS refused")
+def _(spark, sf_dir):
+    docs, path, refused = table(spark, sf_dir, "region"), _folder(spark, "refusals"), []
+    first, rival = store.Writer(spark, path, docs.schema), store.Writer(spark, path, docs.schema)
+    first.add(docs)
+    rival.add(docs)
+    first.commit()
+    for name, attempt in (("existing table", lambda: store.Writer(spark, path, docs.schema)), ("other schema", lambda: store.Writer(spark, path, docs.drop("r_name").schema, append=True)), ("rival commit", rival.commit)):
+        try:
+            attempt()
+        except (FileExistsError, ValueError):
+            refused.append((name,))
+    return spark.createDataFrame(refused, "refused string")
+
+
+@register("command_line_search", "SELECT '{\"total\":' || count(*) || ',\"docs\":[' || string_agg(CASE WHEN n <= 5 THEN doc_id END, ',' ORDER BY n) || ']}' AS result FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE lang = 'de')")
+def _(spark, sf_dir):
+    import contextlib
+    import io
+
+    from brindle.__main__ import main
+
+    docs, path = documents(spark, sf_dir), _folder(spark, "searched")
+    writer = store.Writer(spark, path, docs.schema)
+    writer.add(docs)
+    writer.commit()
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        main(["search", path, "(TERM lang de)", "--schema", "text:text+positions,lang:keyword", "--top", "5"])
+    return spark.createDataFrame([(out.getvalue().strip(),)], "result string")
+
+
 # --- metrics ---
 def event_points(spark, sf_dir, shards: bool = False) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts_ms", F.unix_millis(F.to_timestamp("ts")))
     if not shards:
         return metrics.points(events, F.col("event_type"), F.create_map(F.lit("user"), F.col("user_id").cast("string")), F.col("ts_ms"), F.col("value"))
     one = events.where("event_id % 2 = 0").withColumn("shard", F.lit(0))
-    two = events.where("event_id % 3 <> 0").withColumn("shard", F.lit(1)).withColumn("value", F.col("value") + 1000)
+    two = events.where("event_id % 2 = 1 or event_id % 3 = 0").withColumn("shard", F.lit(1)).withColumn("value", F.col("value") + 1000)
     return metrics.points(one.unionByName(two), F.col("event_type"), F.create_map(F.lit("user"), F.col("user_id").cast("string")), F.col("ts_ms"), F.col("value"), F.col("shard"), F.col("event_id"))
 
 
 P = "(SELECT event_type AS metric_name, '$#$user=' || user_id || '$#$' AS labels, (epoch_us(ts) // 1000) AS ts_ms, value FROM events)"
-P2 = "(SELECT metric_name, labels, ts_ms, value FROM (SELECT *, row_number() OVER (PARTITION BY metric_name, labels, ts_ms ORDER BY shard, event_id) AS n FROM (SELECT event_type AS metric_name, '$#$user=' || user_id || '$#$' AS labels, (epoch_us(ts) // 1000) AS ts_ms, value, 0 AS shard, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_type, '$#$user=' || user_id || '$#$', (epoch_us(ts) // 1000), value + 1000, 1, event_id FROM events WHERE event_id % 3 <> 0)) WHERE n = 1)"
+P2 = "(SELECT metric_name, labels, ts_ms, value FROM (SELECT *, row_number() OVER (PARTITION BY metric_name, labels, ts_ms ORDER BY shard, event_id) AS n FROM (SELECT event_type AS metric_name, '$#$user=' || user_id || '$#$' AS labels, (epoch_us(ts) // 1000) AS ts_ms, value, 0 AS shard, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_type, '$#$user=' || user_id || '$#$', (epoch_us(ts) // 1000), value + 1000, 1, event_id FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0)) WHERE n = 1)"
 
 
 def _buckets(src: str, gran: int) -> str:
@@ -439,6 +536,49 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(told.total_samples, told.series_count, told.min_time, told.max_time)], "total_samples long, series_count long, min_time long, max_time long")
 
 
+def _shard(spark, sf_dir, **limits):
+    """A shard that the events were written to in two writes, each flushed."""
+    from brindle.operators import shards
+
+    shard = shards.Shard(spark, _folder(spark, "shard"), **limits)
+    pts = event_points(spark, sf_dir)
+    for part in (pts.where("pmod(ts_ms, 2) = 0"), pts.where("pmod(ts_ms, 2) = 1")):
+        shard.write_points(part)
+        if not limits:
+            shard.flush()
+    return shard
+
+
+@register("shard_points", f"SELECT metric_name, labels, ts_ms, value FROM {P}")
+def _(spark, sf_dir):
+    from brindle.operators import shards
+
+    shard = _shard(spark, sf_dir)
+    shard.commit()
+    return shards.read(spark, shard.path).select("metric_name", "labels", "ts_ms", "value")
+
+
+@register("shard_auto_flush", f"SELECT (pmod_ts)::INTEGER AS part, count(*) AS n FROM (SELECT ts_ms % 2 AS pmod_ts FROM {P}) GROUP BY pmod_ts")
+def _(spark, sf_dir):
+    return _shard(spark, sf_dir, max_total_points=100).points().groupBy("part").agg(F.count("*").alias("n"))
+
+
+@register("shard_downsample_1h", _ROUNDED.replace("gran_ms,", "part, gran_ms,") + f"(SELECT metric_name, labels, part, 3600000::BIGINT AS gran_ms, ts_ms - ts_ms % 3600000 AS bucket_time, count(*) AS count, sum(value) AS sum, min(value) AS min, max(value) AS max, CASE WHEN arg_max(value, ts_ms) < arg_min(value, ts_ms) THEN arg_max(value, ts_ms) ELSE arg_max(value, ts_ms) - arg_min(value, ts_ms) END AS delta, max(ts_ms) AS point_max FROM (SELECT *, (ts_ms % 2)::INTEGER AS part FROM {P}) GROUP BY metric_name, labels, part, ts_ms - ts_ms % 3600000)")
+def _(spark, sf_dir):
+    from brindle.operators import shards
+
+    shard = _shard(spark, sf_dir)
+    shard.commit()
+    return _rounded(shards.downsample(spark, shard.path, _folder(spark, "buckets"), metrics.ONE_HOUR)[0])
+
+
+@register("metric_batches", f"SELECT metric_name, labels, ts_ms, value FROM {P}")
+def _(spark, sf_dir):
+    from brindle.sources import metric_batch
+
+    return metric_batch.decoded(metric_batch.encoded(event_points(spark, sf_dir))).drop("seq")
+
+
 register("series_unpack", f"SELECT * FROM {P}")(lambda s, d: metrics.unpacked(metrics.packed(event_points(s, d))))
 register("series_list", f"SELECT DISTINCT metric_name, labels FROM {P}")(lambda s, d: metrics.series_of(event_points(s, d)))
 register("series_hash")(lambda s, d: metrics.series_of(event_points(s, d)).withColumn("series_hash", labels.series_hash(F.col("metric_name"), F.col("labels"))))
@@ -446,7 +586,7 @@ register("merge_intra", f"SELECT metric_name, labels, ts_ms, value FROM (SELECT
 register("merge_cross_dedup", f"SELECT * FROM {P2}")(lambda s, d: metrics.merged(event_points(s, d, True)))
 
 
-@register("merge_stats", f"SELECT 2 * count(*) FILTER (WHERE a > 0 AND b > 0) + count(*) FILTER (WHERE a = 0 OR b = 0) AS input_docs, count(*) AS output_docs, sum(a + b)::BIGINT AS input_points, (SELECT count(*) FROM {P2}) AS output_points, count(*) FILTER (WHERE a > 0 AND b > 0) AS merged_groups FROM (SELECT event_type, user_id, count(*) FILTER (WHERE event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_id % 3 <> 0) AS b FROM events GROUP BY event_type, user_id) WHERE a + b > 0")
+@register("merge_stats", f"SELECT 2 * count(*) FILTER (WHERE a > 0 AND b > 0) + count(*) FILTER (WHERE a = 0 OR b = 0) AS input_docs, count(*) AS output_docs, sum(a + b)::BIGINT AS input_points, (SELECT count(*) FROM {P2}) AS output_points, count(*) FILTER (WHERE a > 0 AND b > 0) AS merged_groups FROM (SELECT event_type, user_id, count(*) FILTER (WHERE event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_id % 2 = 1 OR event_id % 3 = 0) AS b FROM events GROUP BY event_type, user_id) WHERE a + b > 0")
 def _(spark, sf_dir):
     pts = event_points(spark, sf_dir, True).withColumn("part", F.lit(0))
     return spark.createDataFrame([vars(metrics.merge_stats(pts, metrics.merged(pts)))], "input_docs long, output_docs long, input_points long, output_points long, merged_groups long")
@@ -476,7 +616,7 @@ def _(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     text = F.concat(F.lit(labels.MARK + "user="), F.col("user_id").cast("string"), F.lit(labels.MARK))
     pts = stream.select(F.col("event_type").alias("metric_name"), text.alias("labels"), F.unix_millis(F.to_timestamp("ts")).alias("ts_ms"), "value")
-    return _rounded(live.into_memory(live.downsampled(pts), f"buckets_{uuid.uuid4().hex}"))
+    return _rounded(live.into_table(live.downsampled(pts), _folder(spark, "buckets")))
 
 
 # --- sketches ---
@@ -509,3 +649,10 @@ def _(spark, sf_dir):
 
 
 register("hll_sketch")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("users")))
+
+
+@register("hll_sketch_bounds", "SELECT event_type, true AS near FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    """A sketch of 2^12 registers is within five standard errors (1.6 % each) of the exact number."""
+    users = table(spark, sf_dir, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("about"), F.countDistinct("user_id").alias("exact"))
+    return users.select("event_type", (F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.08 * F.col("exact"))).alias("near"))

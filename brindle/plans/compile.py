@@ -63,6 +63,8 @@ class ScanPlan:
         spec = self._field(q.field, lambda s: s.indexed)
         if spec is None:
             return F.lit(False)
+        if isinstance(q, And):  # the document has all terms, whichever values they are in
+            return reduce(Column.__and__, (self._column(Term(q.field, t)) for t in q.terms))
         tests = _text_test(q) if spec.tokenized else _keyword_test(q)
         return self._any_value(q.field, tests)
 
@@ -82,8 +84,6 @@ class ScanPlan:
 def _text_test(q: Query):
     if isinstance(q, Term):
         return lambda v: tokens.has_term(v, q.term)
-    if isinstance(q, And):
-        return lambda v: reduce(Column.__and__, (tokens.has_term(v, t) for t in q.terms))
     if isinstance(q, (Or, Terms)):
         return lambda v: tokens.has_any_term(v, list(q.terms))
     if isinstance(q, Prefix):
@@ -99,8 +99,6 @@ def _keyword_test(q: Query):
     """A keyword is one term whatever it holds."""
     if isinstance(q, Term):
         return lambda v: v == q.term
-    if isinstance(q, And):  # two different terms at least
-        return lambda v: F.lit(False)
     if isinstance(q, (Or, Terms)):
         return lambda v: v.isin(list(q.terms))
     if isinstance(q, Prefix):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from brindle.plans.schema import FieldSpec, Schema
 
 
+#: Unknown keys that may become fields; the driver plans a column for each.
+MOST_KEYS = 10_000
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
@@ -53,7 +55,9 @@ def inferred(objects: DataFrame, schema: Schema, order: Column) -> list[FieldSpe
     known = [schema.json_key(f) for f in schema.fields] + [f for f in schema.fields if f not in schema.aliases]
     pairs = objects.where("_object is not null").select(order.alias("at"), F.explode("_object").alias("key", "value"))
     pairs = pairs.where(~F.col("key").isin(known) if known else F.lit(True)).where(_plain(F.col("value")))
-    first = pairs.withColumn("kind", _kind(F.col("value"))).groupBy("key").agg(F.min_by("kind", "at").alias("kind")).orderBy("key").collect()
+    first = pairs.withColumn("kind", _kind(F.col("value"))).groupBy("key").agg(F.min_by("kind", "at").alias("kind")).orderBy("key").limit(MOST_KEYS + 1).collect()
+    if len(first) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} unknown keys: a table can't have a column for each")
     out = []
     for key, kind in first:
         if schema.policy == "stored-only":

@@ -40,9 +40,27 @@ def decode(data: bytes) -> Iterator[tuple[str, str, int, float]]:
         at += 16
 
 
+def encoded(points: DataFrame) -> DataFrame:
+    """content: points as batches, of as many points as an Arrow batch has."""
+    ship(points.sparkSession)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            if b.num_rows:
+                content = encode(zip(*(c.to_pylist() for c in b.columns), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+    return points.select("metric_name", "labels", "ts_ms", "value").mapInArrow(batches, "content binary")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Points of all batch files under a path; seq counts within a file."""
-    ship(spark)
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Points of the batches in the column content; seq counts within a batch."""
+    ship(rows.sparkSession)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,4 +70,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["metric_name", "labels", "ts_ms", "value", "seq"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(points, _SCHEMA)
+    return rows.select("content").mapInArrow(points, _SCHEMA)

@@ -2,7 +2,9 @@
 
 A commit writes its manifest under another name and renames it to the next
 version, which fails if a writer was faster; readers see whole versions only.
-All files go through Hadoop's file system, so any store that Spark reads works.
+All files go through Hadoop's file system. Where a rename isn't atomic or doesn't
+fail for a name that exists, as in plain object stores, one writer at a time is
+safe and two that commit at once are not.
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.terms import placed
+
 
 class Store:
     """The folder of a table."""
@@ -70,6 +74,9 @@ class Store:
             return self.spark.createDataFrame([], struct)
         return self.spark.read.schema(struct).parquet(*(f"{self.path}/{s['name']}" for s in listed))
 
+    def size(self, name: str) -> int:
+        return self._fs.getContentSummary(self._path(name)).getLength()
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
@@ -87,40 +94,58 @@ def open_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     return store.segments(told["segments"], told["schema"])
 
 
+#: Bytes of a file of a merged segment, about.
+MERGED_BYTES = 512 << 20
+
+
 class Writer:
     """Adds documents: flushed segments are seen by this writer alone until they are committed."""
 
-    def __init__(self, spark: SparkSession, path: str, struct: T.StructType, append: bool = False, sort: tuple[str, bool, bool] | None = None, id_col: str = "doc_id") -> None:
-        """sort: a field, whether descending, whether missing values come first."""
+    def __init__(self, spark: SparkSession, path: str, struct: T.StructType, append: bool = False, sort: tuple[str, bool, bool] | None = None, id_col: str = "doc_id", max_buffered: int | None = None, max_bytes: int | None = None) -> None:
+        """sort: a field, whether descending, whether missing values come first.
+
+        max_buffered and max_bytes: what is added is flushed once so many documents
+        (counted, where the caller doesn't say how many) or bytes (as Spark
+        estimates them) are buffered.
+        """
         self.store = Store(spark, path)
         self.struct, self.schema, self.sort, self.id_col = struct, _schema_text(struct), sort, id_col
         found = self.store.versions()
         if found and not append:
             raise FileExistsError(f"{path}: the table exists")
         self.version = found[-1] if found else 0
-        told = self.store.manifest() if found else {"segments": [], "schema": self.schema, "batches": []}
+        told = self.store.manifest() if found else {"segments": [], "schema": self.schema}
         if json.loads(told["schema"]) != json.loads(self.schema):
             raise ValueError("the table has another schema")
         self.committed, self.staged = told["segments"], []
-        self.batches: list[int] = told.get("batches", [])
+        self.batches: dict[str, int] = told.get("batches", {})
         self.buffered: list[DataFrame] = []
-
-    def add(self, rows: DataFrame) -> None:
-        self.buffered.append(rows.select(*self.struct.names))
+        self.max_buffered, self.max_bytes, self.documents, self.bytes = max_buffered, max_bytes, 0, 0
+
+    def add(self, rows: DataFrame, n: int | None = None) -> None:
+        rows = rows.select(*self.struct.names)
+        self.buffered.append(rows)
+        if self.max_buffered is not None:
+            self.documents += rows.count() if n is None else n
+        if self.max_bytes is not None:
+            self.bytes += int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if self.max_buffered is not None and self.documents >= self.max_buffered or self.max_bytes is not None and self.bytes >= self.max_bytes:
+            self.flush()
 
     def flush(self) -> None:
+        self.documents = self.bytes = 0
         for rows in self.buffered:
             rows = ordered(rows, self.sort, self.id_col) if self.sort else rows
             self.staged.append({"name": self.store.write_segment(rows)})
         self.buffered = []
 
-    def commit(self, batch: int | None = None) -> int:
-        """With a batch number a second commit of the same batch changes nothing."""
-        if batch is not None and batch in self.batches:
+    def commit(self, batch: int | None = None, stream: str = "") -> int:
+        """With a batch number of a stream, whose numbers grow, a second commit of the same or an earlier batch changes nothing."""
+        if batch is not None and batch <= self.batches.get(stream, -1):
             self.buffered, self.staged = [], []
             return self.version
         self.flush()
-        batches = self.batches + ([batch] if batch is not None else [])
+        batches = self.batches | ({stream: batch} if batch is not None else {})
         self.version = self.store.commit(self.committed + self.staged, self.schema, self.version, {"batches": batches})
         self.committed, self.staged, self.batches = self.committed + self.staged, [], batches
         return self.version
@@ -132,12 +157,14 @@ class Writer:
             rows = rows.unionByName(more)
         return rows
 
-    def force_merge(self, files: int = 1) -> int:
-        """All segments into one of `files` files; the old ones go once the new version stands. An empty table stays as it is."""
+    def force_merge(self, files: int | None = None) -> int:
+        """All segments into one, of `files` files or else of one for each MERGED_BYTES; the old ones go once the new version
+        stands. An empty table stays as it is."""
         self.flush()
         old = self.committed + self.staged
         if not old:
             return self.version
+        files = files or -(-sum(self.store.size(s["name"]) for s in old) // MERGED_BYTES) or 1
         rows = self.store.segments(old, self.schema)
         rows = ordered(rows, self.sort, self.id_col, files) if self.sort else rows.coalesce(files) if files == 1 else rows.repartition(files)
         name = self.store.write_segment(rows)
@@ -167,39 +194,12 @@ def ordered(rows: DataFrame, sort: tuple[str, bool, bool], id_col: str = "doc_id
     return dealt.sortWithinPartitions(*keys)
 
 
-#: Ranges are told apart at values of a sample of so many rows for each range.
-SAMPLE_PER_RANGE, MOST_RANGES, ROWS_PER_RANGE = 40, 256, 100_000
+#: Rows of a range that is ordered in one task, about.
+ROWS_PER_RANGE = 100_000
 
 
 def sorted_ids(rows: DataFrame, sort: tuple[str, bool, bool], id_col: str = "doc_id", ranges: int = 0) -> DataFrame:
-    """doc_id and sorted_doc_id, the place in the order of a field.
-
-    Places are sums over ranges of the key, so that no task orders all rows.
-    Missing values and each value at which ranges meet (which includes any that
-    many rows share) are ranges of their own, split further by id.
-    """
-    field, descending, missing_first = sort
-    total = rows.count()
-    n = ranges or max(1, min(MOST_RANGES, total // ROWS_PER_RANGE))
-    key, cuts = F.col(field), []
-    if n > 1:
-        spot = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(max(1, total)))
-        few = rows.where(key.isNotNull() & (spot < SAMPLE_PER_RANGE * n)).select(key).limit(4 * SAMPLE_PER_RANGE * n).collect()
-        values = sorted(r[0] for r in few)
-        cuts = sorted({values[len(values) * k // n] for k in range(1, n)}) if values else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (key > F.lit(c)).cast("int") + (key >= F.lit(c)).cast("int")
-    alone = key.isin(cuts) if cuts else F.lit(False)
-    edge = F.lit(-1_000_000 if missing_first else 1_000_000)
-    by_id = F.floor(F.col(id_col) / F.lit(ROWS_PER_RANGE))
-    placed = rows.select(
-        id_col,
-        key.alias("_key"),
-        F.when(key.isNull(), edge).otherwise(-part if descending else part).alias("_part"),
-        F.when(key.isNull() | alone, F.coalesce(by_id, F.lit(-1))).otherwise(F.lit(0)).alias("_ids"),
-    )
-    sizes = placed.groupBy("_part", "_ids").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_before", F.sum("n").over(Window.orderBy("_part", "_ids")) - F.col("n")).drop("n")
-    inner = F.row_number().over(Window.partitionBy("_part", "_ids").orderBy(sort_key(("_key", descending, missing_first)), id_col)) - 1
-    return placed.withColumn("_in", inner).join(before, ["_part", "_ids"]).select(id_col, (F.col("_before") + F.col("_in")).alias("sorted_doc_id"))
+    """doc_id and sorted_doc_id, the place in the order of a field, ties by id. Ranges of (key, id) also split rows that share a key."""
+    keyed = rows.select(id_col, F.col(sort[0]).alias("_key"))
+    order = [sort_key(("_key", *sort[1:])), F.col(id_col).asc()]
+    return placed(keyed, order, "sorted_doc_id", ranges, ROWS_PER_RANGE).select(id_col, "sorted_doc_id")

@@ -19,7 +19,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, schema_of: DataFrame |
     def commit(rows: DataFrame, batch: int) -> None:
         writer = Writer(rows.sparkSession, path, struct, append=True)
         writer.add(rows)
-        writer.commit(batch)
+        writer.commit(batch, checkpoint)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -43,6 +43,23 @@ def downsampled(stream: DataFrame, gran: str = "5 minutes", lateness: str | None
     return out.select(*SERIES, F.unix_millis("w.start").alias("bucket_time"), "count", "sum", "min", "max", delta.alias("delta"))
 
 
+def into_table(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Run a bounded stream to its end into files, a folder for each trigger; in complete mode the last one is the result."""
+    spark, done = stream.sparkSession, []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        name = f"{path}/rows-{batch}"
+        rows.write.mode("overwrite").parquet(name)  # a trigger that is run again replaces what it wrote
+        done[:] = [name] if mode == "complete" else [*done, name]
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)
+
+
 def into_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a bounded stream to its end into a table in memory; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

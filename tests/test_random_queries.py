@@ -14,7 +14,8 @@ from brindle.plans.compile import ScanPlan
 from brindle.plans.query import And, Bool, MatchAll, Occur, Or, Phrase, Prefix, Range, Term, Terms, Wildcard, simplified
 from brindle.plans.schema import FieldSpec, Schema
 
-SCHEMA = Schema.of(FieldSpec.text("t", positions=True), FieldSpec.keyword("k"), FieldSpec.long_point("n"))
+SCHEMA = Schema.of(FieldSpec.text("t", positions=True), FieldSpec.keyword("k"), FieldSpec.long_point("n"), FieldSpec.text("tt", positions=True), FieldSpec.keyword("kk"))
+FIELDS = "tttk" + "TTK"
 WORDS = ["a", "ab", "abc", "b", "ba", "é", "é?", "a*", "a.b", "a%", "_b", "\\b", "a\x0bb", "😀", "(a", "a|b", "$a^"]
 
 
@@ -36,7 +37,9 @@ def matches(q, d) -> bool:
         return all(matches(x, d) for x in must) if must else any(matches(x, d) for x in should) if should else True
     if isinstance(q, Range):
         return d["n"] is not None and q.low <= d["n"] <= q.high
-    have = tokens(d["t"]) if q.field == "t" else [d["k"]] if d["k"] is not None else []
+    values = d[q.field] if isinstance(d[q.field], list) else [d[q.field]]
+    apart = [tokens(v) if q.field[0] == "t" else [v] for v in values if v is not None]
+    have = [x for v in apart for x in v]
     if isinstance(q, Term):
         return q.term in have
     if isinstance(q, And):
@@ -47,12 +50,12 @@ def matches(q, d) -> bool:
         return any(x.startswith(q.prefix) for x in have)
     if isinstance(q, Wildcard):
         return any(glob(q.pattern).fullmatch(x) for x in have)
-    return bool(q.terms) and any(have[i : i + len(q.terms)] == list(q.terms) for i in range(len(have)))
+    return bool(q.terms) and any(v[i : i + len(q.terms)] == list(q.terms) for v in apart for i in range(len(v)))
 
 
 def tree(r, depth):
     kind = r.randrange(9 if depth else 8)
-    field = r.choice("tttk")
+    field = {"T": "tt", "K": "kk"}.get(name := r.choice(FIELDS), name)
     some = lambda n: tuple(r.choice(WORDS) for _ in range(r.randint(0, n)))
     if kind == 0:
         return Term(field, r.choice([*WORDS, "a b", ""]))
@@ -65,7 +68,7 @@ def tree(r, depth):
     if kind == 4:
         return Wildcard(field, r.choice(["*", "?", "a*", "*b", "a?b", "*a*", "a*c", "??", "é*", "*%*", "_?", "\\?", "*.*", "a|b", "(?"]))
     if kind == 5:
-        return Phrase("t", some(3))
+        return Phrase(r.choice(["t", "tt"]), some(3))
     if kind == 6:
         low = r.randint(-5, 10)
         return Range("n", low, low + r.randint(0, 6))
@@ -77,12 +80,14 @@ def tree(r, depth):
 @pytest.fixture(scope="module")
 def corpus(spark):
     r = random.Random(17)
-    rows = [(0, None, None, None), (1, "", "", 0), (2, " \t\n", " ", 1)]
+    rows = [(0, None, None, None, None, None), (1, "", "", 0, [], []), (2, " \t\n", " ", 1, [None, "a"], [None, "a"])]
+    many = lambda: [r.choice([*WORDS, "a b", "ab  a", None]) for _ in range(r.randint(0, 4))] if r.random() > 0.1 else None
     for i in range(3, 80):
         text = "".join(r.choice(WORDS) + r.choice([" ", "  ", "\n", "\t ", "\r\n", "\f"]) for _ in range(r.randint(0, 8)))
-        rows.append((i, r.choice(["", " "]) + text + r.choice(["", "a"]) if r.random() > 0.1 else None, r.choice([*WORDS, None]), r.choice([*range(-3, 12), None])))
-    docs = spark.createDataFrame(rows, "doc_id long, t string, k string, n long").cache()
-    return docs, terms.postings(docs, SCHEMA).cache(), [dict(zip(("doc_id", "t", "k", "n"), x, strict=True)) for x in rows]
+        rows.append((i, r.choice(["", " "]) + text + r.choice(["", "a"]) if r.random() > 0.1 else None, r.choice([*WORDS, None]), r.choice([*range(-3, 12), None]), many(), many()))
+    rows = [(*x[:4], x[4] or [] if x[0] else None, x[5] or [] if x[0] else None) for x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, t string, k string, n long, tt array<string>, kk array<string>").cache()
+    return docs, terms.postings(docs, SCHEMA).cache(), [dict(zip(("doc_id", "t", "k", "n", "tt", "kk"), (*x[:4], x[4] or [], x[5] or []), strict=True)) for x in rows]
 
 
 def test_rows(corpus):
@@ -103,14 +108,14 @@ def _plain(q):
     """Fields that can't be searched hold nothing."""
     if isinstance(q, Bool):
         return Bool(tuple((o, _plain(x)) for o, x in q.clauses))
-    if isinstance(q, Range) and q.field != "n" or isinstance(q, Term) and q.field not in ("t", "k"):
+    if isinstance(q, Range) and q.field != "n" or isinstance(q, Term) and q.field not in ("t", "k", "tt", "kk"):
         return Or("t", ())
     return q
 
 
 
 
-@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("seed", range(40))
 def test_postings(corpus, seed):
     docs, table, rows = corpus
     q = tree(random.Random(100 + seed), 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import terms
 from brindle.operators.search import Searcher
-from brindle.plans.query import And, Bool, MatchAll, Occur, Or, Phrase, Prefix, Range, Term, Terms, Wildcard
+from brindle.plans.query import And, Bool, MatchAll, Occur, Or, Phrase, Prefix, Range, Term, Terms, Wildcard, simplified
 from brindle.plans.schema import FieldSpec, Schema
 
 M, S, N = Occur.MUST, Occur.SHOULD, Occur.MUST_NOT
@@ -169,6 +169,43 @@ def test_values_of_a_field_stay_apart(spark, plan):
     assert found(s, Bool(((N, T("b")),))) == [2]
 
 
+def test_and_takes_terms_from_any_value(spark, plan):
+    rows = [(1, ["x y", "z"], ["a", "b"]), (2, ["x z"], ["a"]), (3, ["x", "y"], ["b", "b"]), (4, None, None)]
+    s = searchers(spark, rows, "doc_id long, message array<string>, level array<string>")[plan]
+    assert found(s, And("message", ("x", "z"))) == [1, 2] and found(s, And("level", ("a", "b"))) == [1]
+    assert found(s, Bool(((N, And("level", ("a", "b"))),))) == [2, 3, 4]
+    single = searchers(spark, [(1, "x", "a"), (2, "x z", "b")], "doc_id long, message string, level string")[plan]
+    assert found(single, And("level", ("a", "b"))) == [] and found(single, And("message", ("x", "z"))) == [2]
+
+
+def test_any_column_name(spark, plan):
+    s = searchers(spark, [(1, "x", 5), (2, "y", 6)], "doc_id long, message string, _id long")[plan]
+    assert [tuple(r) for r in s.matching(T("x")).collect()] == [(1, "x", 5)]
+
+
+def test_counts_from_statistics(spark):
+    rows = [(i, "INFO" if i % 3 else None, f"w{i % 4}", i * 10 if i % 2 else None, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, level string, message string, ts long, lvl int").cache()
+    stats, bounds = terms.term_stats(docs, SCHEMA).cache(), terms.point_stats(docs, SCHEMA).cache()
+    assert {tuple(r) for r in bounds.collect()} == {("ts", 10, 390, 20), ("lvl", 0, 39, 40)}
+    plain, told = Searcher(docs, SCHEMA), Searcher(docs, SCHEMA, stats=stats, bounds=bounds)
+    known = [MatchAll(), Bool(()), T("w1"), T("nosuch"), Term("level", "INFO"), Term("nofield", "x"), Range("ts", 0, 1000), Range("ts", 10, 390), Range("ts", 391, 500), Range("nofield", 0, 1), ~T("w1"), ~Range("ts", 0, 1000), ~Term("nofield", "x")]
+    for q in known:
+        assert told.known_count(simplified(q)) == plain.count(q) == len(found(plain, q)), q
+    for q in (Range("ts", 11, 390), T("w1") | T("w2"), Phrase("message", ("w1", "w2")), ~Range("ts", 11, 390)):
+        assert told.known_count(simplified(q)) is None and told.count(q) == plain.count(q)
+    with pytest.raises(ValueError):
+        told.count(Range("ts", 2, 1))
+
+
+def test_doc_values(spark):
+    schema = Schema.of(FieldSpec.binary_dv("raw"), FieldSpec.sorted_dv("tag"), FieldSpec.numeric_dv("n"), FieldSpec.keyword("level"))
+    docs = spark.createDataFrame([(1, bytearray(b"\x00\xff"), "b", 5, "x"), (2, None, None, None, "y"), (3, bytearray(b""), "a", -1, "z")], "doc_id long, raw binary, tag string, n long, level string")
+    s = Searcher(docs, schema)
+    got = {f: [(r.doc_id, bytes(r.value) if f == "raw" else r.value) for r in s.doc_values(f).orderBy("doc_id").collect()] for f in ("raw", "tag", "n", "level", "nofield")}
+    assert got == {"raw": [(1, b"\x00\xff"), (3, b"")], "tag": [(1, "b"), (3, "a")], "n": [(1, 5), (3, -1)], "level": [], "nofield": []}
+
+
 def test_sorting(spark):
     ts = [50, 10, 40, 20, 30, 90, 70, 80, 60, None]
     s = searchers(spark, [(i, "x", t) for i, t in enumerate(ts)], "doc_id long, message string, ts long")[0]

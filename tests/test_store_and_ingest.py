@@ -57,6 +57,45 @@ def test_versions_and_rival_writers(spark, tmp_path):
     assert ids(store.open_snapshot(spark, path)) == list(range(6)) and ids(store.open_snapshot(spark, path, 1)) == [0, 1, 2]
 
 
+def test_streams_have_batches_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for stream, batch, n in (("one", 0, 1), ("two", 0, 2), ("one", 0, 2), ("one", 1, 3), ("two", 0, 3), ("one", 0, 3)):
+        w = store.Writer(spark, path, rows(spark, 0, 1).schema, append=True)
+        w.add(rows(spark, 0, 1))
+        w.commit(batch, stream)
+        assert store.open_snapshot(spark, path).count() == n
+    assert store.Store(spark, path).manifest()["batches"] == {"one": 1, "two": 0}
+
+
+def test_writer_flushes_by_itself(spark, tmp_path):
+    struct = rows(spark, 0, 1).schema
+    w = store.Writer(spark, str(tmp_path / "a"), struct, max_buffered=10)
+    for k, flushed in ((4, 0), (4, 0), (4, 3), (9, 3), (1, 5)):
+        w.add(rows(spark, 0, k))
+        assert len(w.staged) == flushed
+    assert w.documents == 0 and w.buffered == [] and ids(w.live()) == sorted([*range(4)] * 3 + [*range(9), 0])
+    with pytest.raises(FileNotFoundError):
+        store.open_snapshot(spark, str(tmp_path / "a"))
+    w = store.Writer(spark, str(tmp_path / "b"), struct, max_bytes=1)
+    w.add(rows(spark, 0, 3))
+    assert len(w.staged) == 1 and w.bytes == 0
+    w = store.Writer(spark, str(tmp_path / "c"), struct)
+    w.add(rows(spark, 0, 3))
+    assert len(w.buffered) == 1
+
+
+def test_merged_segments_have_files_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MERGED_BYTES", 1500)
+    path = str(tmp_path / "t")
+    w = store.Writer(spark, path, rows(spark, 0, 1).schema)
+    for k in range(4):
+        w.add(rows(spark, 100 * k, 100))
+        w.commit()
+    w.force_merge()
+    got = store.open_snapshot(spark, path)
+    assert len(got.inputFiles()) > 1 and len(list((tmp_path / "t" / "segments").iterdir())) == 1 and ids(got) == list(range(400))
+
+
 def test_force_merge(spark, tmp_path):
     path = str(tmp_path / "t")
     w = store.Writer(spark, path, rows(spark, 0, 1).schema, sort=("ts", True, False))
@@ -127,6 +166,13 @@ def test_unknown_keys(spark):
     assert (got[0]["w"], got[1]["w"]) == ("s", "5")
 
 
+def test_too_many_unknown_keys(spark, monkeypatch):
+    monkeypatch.setattr(jsonl, "MOST_KEYS", 3)
+    bind(spark, ['{"a": 1, "b": 2, "c": 3}'], "$policy=dynamic")
+    with pytest.raises(ValueError):
+        bind(spark, ['{"a": 1, "b": 2}', '{"c": 3, "d": 4}'], "$policy=dynamic")
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "two.log").write_bytes(b"third line\r\n\n \x00 fourth \t\nbad \xff line\n")
@@ -164,7 +210,7 @@ def test_late_points_and_watermarks(spark, tmp_path):
 
         time.sleep(1.1)  # files are taken by age
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = {r.bucket_time: r["count"] for r in live.into_memory(live.downsampled(stream, lateness="10 minutes"), "late_buckets", "append").collect()}
+    got = {r.bucket_time: r["count"] for r in live.into_table(live.downsampled(stream, lateness="10 minutes"), str(tmp_path / "late"), "append").collect()}
     assert got[0] == 1 and 3_600_000 in got
 
 
@@ -187,5 +233,6 @@ def test_stream_buckets(spark, tmp_path):
     src = str(tmp_path / "points")
     spark.createDataFrame([("m", "$#$", t, v) for t, v in [(0, 100.0), (1000, 50.0), (2000, 80.0), (300000, 1.0)]], "metric_name string, labels string, ts_ms long, value double").repartition(3).write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = {r.bucket_time: (r["count"], r["sum"], r["delta"]) for r in live.into_memory(live.downsampled(stream), "buckets").collect()}
+    got = {r.bucket_time: (r["count"], r["sum"], r["delta"]) for r in live.into_table(live.downsampled(stream), str(tmp_path / "buckets")).collect()}
+    assert {r.bucket_time for r in live.into_memory(live.downsampled(stream), "buckets").collect()} == set(got)
     assert got == {0: (3, 230.0, 80.0), 300000: (1, 1.0, 0.0)}
