@@ -388,3 +388,18 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         one = kept.join(twice, key, "left_semi").groupBy(key).agg(F.min_by(whole.alias("doc"), F.xxhash64(F.to_json(whole))).alias("doc"))
         kept = kept.join(twice, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one.select("doc.*"))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """All pairs that share a shingle, in DuckDB SQL."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS k FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM i),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r, r AS q FROM d UNION SELECT t.r, e.b FROM t JOIN e ON t.q = e.a),
+c AS (SELECT t.r, min(d.doc_id) AS class_id FROM t JOIN d ON t.q = d.r GROUP BY t.r)
+SELECT d.doc_id, c.class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links FROM d JOIN c ON d.r = c.r"""

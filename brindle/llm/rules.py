@@ -360,3 +360,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     off = (F.col("log_ppl") - F.col("mid")) / (F.col("spread") * F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.lit(1), F.col("n_grams")))))
     inside = F.coalesce(off.between(-BELOW, ABOVE), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"))
+
+
+def base_sql() -> str:
+    """Base counts and verdict in DuckDB SQL."""
+    word, lines = r"[^\x20\x09-\x0D]", "list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM d WHERE len(w) >= {WINDOW}),
+g AS (SELECT r, k, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS g FROM i),
+f AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, count(DISTINCT k + m) AS n FROM f, (SELECT unnest(range({WINDOW})) AS m) GROUP BY r),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
+  (len({lines}) - len(list_distinct({lines})))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c ON d.r = c.r)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM x"""

@@ -545,3 +545,12 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFra
             yield pd.Series(rows, dtype=object)
 
     return docs.withColumn(text_col, cleaned(F.col(text_col)))
+
+
+def base_sql() -> str:
+    """The base counts in DuckDB SQL; letters of either case are spelled out."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
+    words = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    count = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))::BIGINT"
+    assign = rf"({words})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
+    return f"SELECT doc_id, {count(assign, 2, 6)} AS n_assign, {count('AKIA[A-Z0-9]+', 0, 20)} AS n_access, {count('[0-9a-f]+', 0, 24)} AS n_hex FROM documents"

@@ -216,3 +216,15 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     scored = model.with_statistics(lexical(rows))
     by_method = F.when(model.score() > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("told", by_method).alias("verdict"), (1 / (1 + F.exp(-model.score()))).alias("score"))
+
+
+def rules_sql(rules=RULES) -> str:
+    """Hosts, paths and rules in DuckDB SQL."""
+    cases = ""
+    for _, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+        name, start = rule.split("/", 1)
+        cases += f" WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{rule}'"
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, CASE{cases} END AS rule FROM p"""
