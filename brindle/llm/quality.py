@@ -2,7 +2,9 @@
 
 Each word, each pair of words that follow each other, and each character n-gram
 of a word (three to five characters, the word in boundary marks) has a learned
-vector, found by hashing. A document is
+vector, found by hashing. A pair is hashed by the exclusive or of its words, so
+that its order doesn't count and a word with itself has the same vector whichever
+word it is: what repetition says is learned once for all words. A document is
 the average of the vectors of its whole text, with counts; a softmax over two
 outputs gives the score. Vectors and outputs are trained together by stochastic
 gradient descent in numpy, one document a step, on a bounded sample of the
@@ -66,7 +68,7 @@ def subwords(text: str | None) -> Iterator[np.ndarray]:
         if last is not None:
             words = np.concatenate((last, words))
         if len(words) > 1:
-            yield C.spread(words[:-1] * _PAIR ^ words[1:], BITS)
+            yield C.spread(words[:-1] ^ words[1:] ^ _PAIR, BITS)
         last = words[-1:] if len(words) else last
 
 

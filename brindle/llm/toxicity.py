@@ -8,7 +8,7 @@ their log ratio is MIN_ERRORS standard errors or more from zero: in a long text
 the many others, whose ratios are chance, would outvote the few that count. Most
 n-grams that pass point to toxicity, since other texts have no words of their own.
 Features are made on the executors,
-training runs on the driver over a bounded sample.
+training runs on the driver over a bounded sample, of whose near copies one counts.
 
 Defined cases: a null text counts as empty; an empty text scores by the bias
 alone; a null doc_id is never learned from and is not held out; of repeated
@@ -38,6 +38,7 @@ THRESHOLD = 0.7
 MIN_TEXTS, MIN_ERRORS = 5, 2.0
 _CHUNK = 1 << 20
 _PART = 128
+_HASHES, _ALIKE = 32, 20
 
 
 def features(text: str | None, seen: np.ndarray, stamp: int) -> np.ndarray:
@@ -62,7 +63,24 @@ def all_features(texts) -> Iterator[np.ndarray]:
         yield features(text, seen, -1 - k)
 
 
-def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
+def unlike(sets: list[np.ndarray]) -> np.ndarray:
+    """Places of sets of which no two are near copies (some six of ten n-grams in common or more, by minimum hashes); the first of such stays.
+
+    Copies would make chance n-grams of one text look like those of many.
+    """
+    turns = np.random.default_rng(3).integers(1, 1 << 32, (_HASHES, 1), dtype=np.uint32) | np.uint32(1)
+    least = np.full((len(sets), _HASHES), 0xFFFFFFFF, np.uint32)
+    for k, ids in enumerate(sets):
+        if len(ids):
+            least[k] = (ids.astype(np.uint32) * turns).min(axis=1)
+    kept: list[int] = []
+    for k in range(len(sets)):
+        if not kept or (least[kept] == least[k]).sum(axis=1).max() < _ALIKE:
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 120, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Weights by n-gram id and the bias. Adam on whole gradients, summed over parts of the sample to save memory."""
     if len(set(labels.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), -1e9
@@ -126,7 +144,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": b.id, "label": b.label, "ids": [np.sort(x).tobytes() for x in all_features(b.text)]})
 
     got = texts.mapInPandas(featured, "id long, label int, ids binary").toArrow().sort_by("id")
-    return train([np.frombuffer(x, np.int32) for x in (v.as_buffer() for v in got["ids"])], got["label"].to_numpy())
+    sets = [np.frombuffer(x, np.int32) for x in (v.as_buffer() for v in got["ids"])]
+    kept = unlike(sets)
+    return train([sets[k] for k in kept], got["label"].to_numpy()[kept])
 
 
 def score_udf(spark, weights: np.ndarray, bias: float):

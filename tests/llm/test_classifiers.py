@@ -107,7 +107,7 @@ def plain_subwords(text):
         h = sum((ord(c) + 7) * 0x811C9DC5 * pow(0x01000193, k, 1 << 32) for k, c in enumerate(word)) % (1 << 32)
         out.append(spread(h, quality.BITS))
         if last is not None:
-            out.append(spread(last * 0x9E3779B1 % (1 << 32) ^ h, quality.BITS))
+            out.append(spread(last ^ h ^ 0x9E3779B1, quality.BITS))
         last = h
     return Counter(out)
 
@@ -156,6 +156,15 @@ def test_ratios_of_both_signs_have_weights():
     assert weights[gram("rudew", toxicity.BITS)] > 0 > weights[gram("polit", toxicity.BITS)]
 
 
+def test_near_copies_in_the_sample_count_once():
+    r = random.Random(8)
+    base = [sentence(r, lang, 200) for lang in ("en", "fr", "de", "en")]
+    texts = [base[0], base[1], base[0] + " end", base[2], base[0], " ".join(base[1].split()[:-5]), base[3], "", ""]
+    sets = list(toxicity.all_features(texts))
+    assert toxicity.unlike(sets).tolist() == [0, 1, 3, 6, 7]
+    assert toxicity.unlike([]).tolist() == []
+
+
 def test_languages_by_a_plain_reading(docs, corpus):
     net = langid.learn(docs)
     texts = [x[1] for x in corpus[:25]] + ["x", "é" * 100, "Ab 12 " * 40]
