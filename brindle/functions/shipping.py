@@ -10,7 +10,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch, whichever ends first; a single longer row is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
@@ -30,6 +30,19 @@ def ready(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Tables below so many bytes may be dealt to the cores anew, a part for each megabyte.
+SMALL = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, which single tasks would read, dealt to all cores; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL or 2 * len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(max(1, min(cores, -(-size // (1 << 20)))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and everything runs on this machine, a new folder. On a cluster it has to be set."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -21,9 +21,14 @@ _TERM = r"[^ \t\n\f\r]"
 _MOST_ALTERNATIVES = 64
 
 
+def pieces(text: Column) -> Column:
+    """The terms of a text in order, and maybe an empty string before and after them; null for null."""
+    return F.split(text, _RUN)
+
+
 def tok(text: Column) -> Column:
     """The terms of a text in order; null for null."""
-    return F.filter(F.split(text, _RUN), lambda x: x != "")
+    return F.filter(pieces(text), lambda x: x != "")
 
 
 def is_term(term: str) -> bool:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.shipping import ready, shared_dir
-from brindle.functions.tokens import tok
+from brindle.functions.shipping import ready, shared_dir, spread
+from brindle.functions.tokens import pieces
 from brindle.plans.schema import Schema
 
 _TERMS = re.compile(r"[^ \t\n\f\r]+")
@@ -54,6 +54,7 @@ def postings(docs: DataFrame, schema: Schema, id_col: str = "doc_id", only: list
             continue
         col = F.col(spec.name)
         rows = docs.where(col.isNotNull()).select(F.col(id_col).alias("id"), col.alias("value"))
+        rows = spread(rows) if spec.tokenized else rows
         if not spec.tokenized and not isinstance(docs.schema[spec.name].dataType, T.ArrayType):
             parts.append(rows.select(F.lit(spec.name).alias("field"), F.col("value").alias("term"), "id", F.lit(1).cast("long").alias("freq"), F.array(F.lit(0).cast("long")).alias("positions")))
         else:
@@ -74,16 +75,19 @@ def term_stats(docs: DataFrame, schema: Schema, only: list[str] | None = None) -
     for spec in schema.fields.values():
         if not spec.indexed or spec.name not in docs.columns or (only and spec.name not in only):
             continue
-        col, split = F.col(f"`{spec.name}`"), tok if spec.tokenized else F.array
-        many = isinstance(docs.schema[spec.name].dataType, T.ArrayType)
-        found = F.array_sort(F.flatten(F.transform(F.filter(col, lambda v: v.isNotNull()), split)) if many else F.when(col.isNotNull(), split(col)))
-        # in a document's sorted terms the first of equal ones counts for the document: sums in each task, one small shuffle
-        rows = docs.select(found.alias("_found")).select("_found", F.posexplode("_found").alias("_at", "term"))
-        first = (F.col("_at") == 0) | (F.get("_found", F.col("_at") - 1) != F.col("term"))
-        parts.append(rows.select(F.lit(spec.name).alias("field"), "term", first.cast("long").alias("_first")))
+        col, many = F.col(f"`{spec.name}`"), isinstance(docs.schema[spec.name].dataType, T.ArrayType)
+        values = F.filter(col, lambda v: v.isNotNull()) if many else col
+        if spec.tokenized:
+            values = F.flatten(F.transform(values, pieces)) if many else pieces(values)
+        elif not many:
+            values = F.array(values)
+        rows = spread(docs.select(col)).select(values.alias("_found"))
+        # every occurrence, and every term of a document once: sums in each task, then one small shuffle
+        every, once = (rows.select(F.explode(x).alias("term"), F.lit(n).alias("df"), F.lit(1 - n).alias("ttf")) for x, n in (("_found", 0), (F.array_distinct("_found"), 1)))
+        parts += [x.where(F.col("term") != "" if spec.tokenized else F.col("term").isNotNull()).select(F.lit(spec.name).alias("field"), "term", "df", "ttf") for x in (every, once)]
     if not parts:
         raise ValueError("no indexed field")
-    return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("_first").alias("df"), F.count("*").alias("ttf"))
+    return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
 
 
 def stats_of(table: DataFrame) -> DataFrame:
