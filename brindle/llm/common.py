@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.shipping import ready, shared_dir  # noqa: F401
+from brindle.functions.shipping import spread as on_all_cores  # noqa: F401
 
 #: Words, everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

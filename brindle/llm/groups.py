@@ -43,11 +43,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         with C.scratch() as keep:
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = C.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n")), "least")
-            large = spread_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            # no node has more edges later in the round than now
+            hot = (both.groupBy("a").count().agg(F.max("count")).first()[0] or 0) > SPLIT
+            meet = (lambda rows, table: spread_join(rows, C.staged(table, "stars"), ["a"])) if hot else (lambda rows, table: rows.join(table.drop("_n"), "a"))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n"))
+            large = meet(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
             large = C.staged(large, "large")
-            low = C.staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")), "low")
-            small = spread_join(large, low, ["a"]).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+            small = meet(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
             edges = keep(C.staged(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges"))
         was, told = told, _digest(edges)
         if was == told:

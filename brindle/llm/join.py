@@ -201,7 +201,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["rk", "doc_id", "n", "h1", "h2", "sig", "bands"])
 
     rows = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, "rk long, doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>")
+    return C.on_all_cores(rows).mapInArrow(sign, "rk long, doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def in_blocks(rows: DataFrame, group: str, size: Column, key: str, block: int) -> DataFrame:

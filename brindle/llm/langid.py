@@ -204,8 +204,8 @@ def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             langs, scores = predict(texts, model.value, tables)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(C.remainder(id_col, held[0]) == held[1], F.lit(False)).alias("held_out"),
-        language(F.col(text_col)).alias("p"),
+    return C.on_all_cores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select(
+        "doc_id",
+        F.coalesce(C.remainder("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"),
+        language(F.col("text")).alias("p"),
     ).select("doc_id", "held_out", "p.lang_pred", "p.score")

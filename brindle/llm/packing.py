@@ -200,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         sequence = pc.add(out.column("sequence_id"), _MERGED + (got[0]["task"] // GROUP << 20))
         return pa.Table.from_batches([out.set_column(5, "sequence_id", sequence)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, _SCHEMA)
+    rows = C.on_all_cores(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(packed, _SCHEMA)
     rows = C.staged(rows, "pieces")
     last = rows.where("sequence_id is null").withColumn("g", F.expr(f"task div {GROUP}")).groupBy("g").applyInArrow(merged, _SCHEMA)
     every = rows.where("sequence_id is not null").unionByName(last)

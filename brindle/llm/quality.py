@@ -190,8 +190,8 @@ def score_udf(spark, slots: np.ndarray, bias: float):
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = (5, 0), threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     udf = score_udf(docs.sparkSession, *learn(docs, labels, id_col, text_col, held=held))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(C.remainder(id_col, held[0]) == held[1], F.lit(False)).alias("held_out"),
-        udf(F.col(text_col)).alias("score"),
+    return C.on_all_cores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select(
+        "doc_id",
+        F.coalesce(C.remainder("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"),
+        udf(F.col("text")).alias("score"),
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

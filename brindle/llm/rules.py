@@ -305,7 +305,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Counts and log perplexity of every document, by the model of the language's other half."""
     spark = docs.sparkSession
     half = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2)).cast("string")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), half.alias("half"), F.col(text_col).alias("text"))
+    texts = C.on_all_cores(docs.select(id_col, lang_col, text_col)).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), half.alias("half"), F.col(text_col).alias("text"))
     table = counted_model(texts.select(F.concat("half", "lang").alias("lang"), "text"))
     texts = texts.withColumn("other", F.concat(F.when(F.col("half") == "0", "1").otherwise("0"), "lang"))
     parts = loads(table, most)

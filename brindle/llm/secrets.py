@@ -528,7 +528,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), layers, closed))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_unopened"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), scanned(F.col(text_col)).alias("x")).select("doc_id", "x.*")
+    return C.on_all_cores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", scanned("text").alias("x")).select("doc_id", "x.*")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
@@ -544,7 +544,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFra
                 rows.append(without(t, [*every, *((a, 0, b) for a, b in closed)], mark))
             yield pd.Series(rows, dtype=object)
 
-    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+    return C.on_all_cores(docs).withColumn(text_col, cleaned(F.col(text_col)))
 
 
 def base_sql() -> str:
