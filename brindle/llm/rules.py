@@ -9,10 +9,12 @@ aggregations over the distinct n-grams. The finished probabilities are a written
 table of the n-grams themselves, read as sorted arrays with parallel arrays of
 values, 12 bytes an entry: nothing is hashed or left out, and an n-gram that was
 not counted is never found. A text's log perplexity is the mean negative log
-probability of its n-grams. Texts are split by a hash into two halves, each half
+probability of its n-grams, and its word perplexity their sum for each word: junk
+that many texts share is likely to the model, but what is put to every word still
+makes each of them longer and so less likely. Texts are split by a hash into two halves, each half
 has a model of its own, and a text is scored by the model of the other half, so
-that it can't vouch for itself. The bands lie around the median of the texts of
-the language that the same model scores, in units of their robust spread; they
+that it can't vouch for itself. The bands of both lie around the median of the texts
+of the language that the same model scores, in units of their robust spread; they
 widen with the square root of the median length over the text's for shorter ones.
 
 The model grows with the corpus; what is broadcast at a time doesn't. A model of
@@ -48,7 +50,8 @@ ORDER = 4
 CHAR_BITS = 16
 #: Entries of the model (of 12 bytes) that are broadcast at a time.
 MOST_ENTRIES = 8_000_000
-#: Bands: so many robust spreads below and above the median log perplexity; a spread counts as MIN_SPREAD at least.
+#: Bands: so many robust spreads below and above the median log perplexity; a spread counts as MIN_SPREAD at least
+#: (for words, as many times more as their median is larger).
 BELOW, ABOVE, MIN_SPREAD = 4.0, 8.0, 0.02
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
@@ -298,6 +301,7 @@ def fit(docs: DataFrame) -> Model:
     return load(model, {r.lang: (1, [0]) for r in model.select("lang").distinct().collect()})
 
 
+_MEASURES = ("log_ppl", "log_word")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -352,14 +356,22 @@ def _pass(spark, texts: DataFrame, model: Model, part: dict[str, tuple[int, list
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_ENTRIES) -> DataFrame:
     """Counts, perplexity and verdict of every document."""
-    rows = measured(docs, id_col, text_col, lang_col, most)
-    quarters = rows.where("log_ppl is not null").groupBy("other").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"), F.percentile_approx("n_grams", 0.5, 10000).alias("usual"))
-    bands = C.staged(quarters.select("other", "usual", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(MIN_SPREAD)).alias("spread")), "bands")
+    rows = measured(docs, id_col, text_col, lang_col, most).withColumn("log_word", F.when(F.col("n_words") > 0, F.col("log_ppl") * F.col("n_grams") / F.col("n_words")))
+    parts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quarters = rows.where("log_ppl is not null").groupBy("other").agg(*(F.percentile_approx(c, parts, 10000).alias(c) for c in _MEASURES), F.percentile_approx("n_grams", 0.5, 10000).alias("usual"))
+    spreads = []
+    for c in _MEASURES:
+        least = F.lit(MIN_SPREAD) * F.coalesce(F.col(c)[1] / F.col("log_ppl")[1], F.lit(1.0))
+        spreads += [F.col(c)[1].alias(f"{c}_mid"), F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, least).alias(f"{c}_spread")]
+    bands = C.staged(quarters.select("other", "usual", *spreads), "bands")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = rows.join(bands, "other", "left")  # a row for each half of a language, broadcast if Spark finds the written table small
-    off = (F.col("log_ppl") - F.col("mid")) / (F.col("spread") * F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.lit(1), F.col("n_grams")))))
-    inside = F.coalesce(off.between(-BELOW, ABOVE), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.lit(1), F.col("n_grams"))))
+    inside = F.lit(True)
+    for c in _MEASURES:
+        off = (F.col(c) - F.col(f"{c}_mid")) / (F.col(f"{c}_spread") * wider)
+        inside = inside & F.coalesce(off.between(-BELOW, ABOVE), F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("log_word").alias("word_perplexity"))
 
 
 def base_sql() -> str:

@@ -146,6 +146,15 @@ def test_no_gram_is_lost_or_taken_for_another(spark):
     assert not (np.concatenate(list(R.gram_codes("aabc"))) == np.concatenate(list(R.gram_codes("aၡbc")))).any()
 
 
+def test_symbols_at_every_word_are_rejected_though_common(spark):
+    r = random.Random(10)
+    marked = lambda n: " ".join(w + r.choice(["***", "%%%", "&&&", "$$$", "###"]) for w in sentence(r, "en", n).split())
+    rows = [row(i, sentence(r, "en", r.randint(60, 140))) for i in range(400)] + [row(1000 + i, marked(r.randint(60, 140))) for i in range(40)]
+    got = {x.doc_id: x for x in R.judged(spark.createDataFrame(rows, STRUCT)).collect()}
+    assert [i for i, x in got.items() if i >= 1000 and x.kept] == [] and sum(not got[i].kept for i in range(400)) <= 2
+    assert all(x.word_perplexity > x.perplexity for x in got.values())
+
+
 def test_bands_reject_junk_of_any_length(spark):
     r = random.Random(9)
     rows = [row(i, sentence(r, ["en", "fr"][i % 2], r.randint(60, 140)), ["en", "fr"][i % 2]) for i in range(400)]
