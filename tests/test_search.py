@@ -178,6 +178,12 @@ def test_and_takes_terms_from_any_value(spark, plan):
     assert found(single, And("level", ("a", "b"))) == [] and found(single, And("message", ("x", "z"))) == [2]
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 200])
+def test_lists_of_terms_of_any_length(many_terms, plan, n):
+    asked = ("t03", "héllo", "a b", "", *(f"zz{k}" for k in range(n - 4)))
+    assert found(many_terms[plan], Terms("message", asked)) == sorted([*(k for k in range(40) if 3 in (k % 20, (k + 7) % 20)), 40])
+
+
 def test_any_column_name(spark, plan):
     s = searchers(spark, [(1, "x", 5), (2, "y", 6)], "doc_id long, message string, _id long")[plan]
     assert [tuple(r) for r in s.matching(T("x")).collect()] == [(1, "x", 5)]
