@@ -30,8 +30,8 @@ def ready(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-#: Tables below so many bytes may be dealt to the cores anew, a part for each megabyte.
-SMALL = 64 << 20
+#: Tables below so many bytes may be dealt to the cores anew, in parts of so many at least.
+SMALL, PART = 64 << 20, 1 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def spread(rows: DataFrame) -> DataFrame:
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= SMALL or 2 * len(rows.inputFiles()) >= cores:
         return rows
-    return rows.repartition(max(1, min(cores, -(-size // (1 << 20)))))
+    return rows.repartition(max(1, min(cores, -(-size // PART))))
 
 
 def shared_dir(spark: SparkSession) -> str:

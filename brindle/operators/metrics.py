@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.labels import labels_str
@@ -49,9 +49,9 @@ def series_stats(pts: DataFrame) -> DataFrame:
 
 
 def merged(pts: DataFrame, order: tuple[str, ...] = ("shard", "seq")) -> DataFrame:
-    """Each series' first point at a time, by shard and arrival; later ones at the same time go."""
-    first = Window.partitionBy(*SERIES, "ts_ms").orderBy(*order)
-    return pts.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*SERIES, "ts_ms", "value")
+    """Each series' first point at a time, by shard and arrival; later ones at the same time go, within a task before anything is shuffled."""
+    first = F.min_by("value", F.struct(*order))
+    return pts.groupBy(*SERIES, "ts_ms").agg(first.alias("value"))
 
 
 @dataclass(frozen=True)
